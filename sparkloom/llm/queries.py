@@ -31,7 +31,7 @@ ORACLES: dict[str, str] = {
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{WORD}') AS w FROM documents),
         s AS (
             SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-                ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
             FROM w),
         n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
         x AS (SELECT doc_id, unnest(s) AS g FROM s),
