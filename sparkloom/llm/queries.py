@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .jaccard_join import jaccard_components
+from .packing import pack
+from .quality_rules import MEASURES, ledger, passes
+from .vector_topk import exact_top_k
 
 #: Fixed by the query contract: white space that separates words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,12 +19,39 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op5_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("double"))
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    vectors = _table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull() & ~bad).select("vec_id", scaled.alias("embedding"))
+    return exact_top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, kept = passes("base"), passes("v1")
+    out = ledger(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *[m for m in MEASURES if m != "n_lines"], (~base).alias("base_failed"), (base & kept).alias("kept"), "n_lines", "failed")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_group")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_vector_topk": op5_vector_topk,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_packing": op10_packing,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -39,4 +69,32 @@ ORACLES: dict[str, str] = {
         l AS (SELECT a, b FROM both_ JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 90 * (na.n + nb.n - c)),
         r(doc_id, at_) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.at_)
         SELECT n.doc_id, n.n AS n_shingles, min(r.at_) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY ALL""",
+    "op5_vector_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op9_quality_rules": rf"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (
+            SELECT doc_id, regexp_extract_all(text, '{WORD}') AS w, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM t),
+        g AS (
+            SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g
+            FROM w WHERE len(w) >= 8),
+        d AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+        p AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM d, range(8) r(o) GROUP BY doc_id),
+        m AS (
+            SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                n_symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+                coalesce(p.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines
+            FROM w LEFT JOIN p ON p.doc_id = w.doc_id),
+        f AS (
+            SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (word_chars < 2 * n_words)::BIGINT
+                + 8 * (word_chars > 20 * n_words)::BIGINT + 16 * (2 * n_symbols > n_words)::BIGINT + 32 * (2 * n_dup_lines > n_lines)::BIGINT AS failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, n_lines, failed FROM f""",
 }

@@ -144,3 +144,14 @@ def shingle_sets(col: pa.Array, k: int) -> Iterator[np.ndarray]:
     words, first = words_of(col, lower=True)
     for a, b in zip(first[:-1], first[1:]):
         yield shingles(words[a:b], k)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 * BLOCK) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``limit`` bytes of text, one row at least."""
+    for batch in batches:
+        _, offsets = text_buffers(batch.column(column))
+        i = 0
+        while i < batch.num_rows:
+            j = max(int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1, i + 1)
+            yield batch.slice(i, j - i)
+            i = j
