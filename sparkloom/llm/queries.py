@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .jaccard_join import jaccard_components
+from .line_dedup import dedup_lines
 from .packing import pack
 from .quality_rules import MEASURES, ledger, passes
+from .secret_scan import RULES, base_spans, find_secrets, span_text
 from .vector_topk import exact_top_k
 
 #: Fixed by the query contract: white space that separates words.
@@ -25,6 +27,19 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    base = base_spans(F.col("spans"))
+    count = lambda i: F.size(F.filter(base, lambda s: s["kind"] == i)).cast("long")
+    counts = [count(i).alias(f"n_{r.kind}") for i, r in enumerate(RULES) if r.base]
+    return find_secrets(docs, "spans").select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "lines_before", "lines_removed", "chunks_all", "chunks_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -48,15 +63,43 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_secret_scan": op3_secret_scan,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_vector_topk": op5_vector_topk,
+    "op7_line_dedup": op7_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _secrets_sql() -> str:
+    """Positions from the pieces between matches, as in a plain left-to-right scan."""
+    found = []
+    for i, r in enumerate(RULES):
+        pattern = r.pattern.replace("'", "''")
+        found.append(f"""SELECT doc_id, {i} AS k, '{r.kind}' AS kind, regexp_extract_all(t, '{pattern}') AS m,
+            regexp_extract_all(t, '{pattern}', {r.group}) AS g, string_split_regex(t, '{pattern}') AS p, {r.least} AS least FROM d WHERE regexp_matches(t, '{pattern}')""")
+    base = ", ".join(str(i) for i, r in enumerate(RULES) if r.base)
+    counts = ", ".join(f"count(*) FILTER (k = {i})::BIGINT AS n_{r.kind}" for i, r in enumerate(RULES) if r.base)
+    names = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in RULES if r.base)
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        f AS ({" UNION ALL ".join(found)}),
+        u AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
+        s AS (
+            SELECT doc_id, k, kind, length(m[i]) AS n, (list_sum(list_transform(p[1:i], lambda x: length(x)))
+                + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a
+            FROM u WHERE length(g[i]) >= least),
+        a AS (
+            SELECT doc_id, {counts}, coalesce(string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) FILTER (k IN ({base})), '') AS base,
+                string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) AS spans
+            FROM s GROUP BY doc_id)
+        SELECT d.doc_id, {names}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a ON a.doc_id = d.doc_id"""
+
+
 ORACLES: dict[str, str] = {
+    "op3_secret_scan": _secrets_sql(),
     "op4_jaccard_join": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{WORD}') AS w FROM documents),
         s AS (
