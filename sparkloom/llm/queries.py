@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .jaccard_join import jaccard_components
+from .language_id import identify
 from .line_dedup import dedup_lines
 from .packing import pack
 from .quality_rules import MEASURES, ledger, passes
 from .secret_scan import RULES, base_spans, find_secrets, span_text
+from .substring_dedup import dedup_substrings
 from .vector_topk import exact_top_k
 
 #: Fixed by the query contract: white space that separates words.
@@ -35,6 +37,19 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(docs, "spans").select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda: F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    out = identify(_table(spark, sf_dir, "documents"), ~held_out())
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", "n_chunks", "n_repeated", removed.alias("removed_chars"), spans.alias("removed_spans"), "text")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "lines_before", "lines_removed", "chunks_all", "chunks_removed", F.sha2("text", 256).alias("text_sha256"))
@@ -66,7 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_vector_topk": op5_vector_topk,
+    "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
