@@ -11,6 +11,7 @@ from .language_id import identify
 from .line_dedup import dedup_lines
 from .packing import pack
 from .quality_rules import MEASURES, ledger, passes
+from .sentencepiece_bpe import encode
 from .secret_scan import RULES, base_spans, find_secrets, span_text
 from .substring_dedup import dedup_substrings
 from .vector_topk import exact_top_k
@@ -29,6 +30,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "parity", "round_trip")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     base = base_spans(F.col("spans"))
@@ -78,6 +84,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op3_secret_scan": op3_secret_scan,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_vector_topk": op5_vector_topk,
