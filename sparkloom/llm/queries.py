@@ -14,6 +14,7 @@ from .quality_rules import MEASURES, ledger, passes
 from .sentencepiece_bpe import encode
 from .secret_scan import RULES, base_spans, find_secrets, span_text
 from .substring_dedup import dedup_substrings
+from .token_counts import apply_edits, build_trees
 from .vector_topk import exact_top_k
 
 #: Fixed by the query contract: white space that separates words.
@@ -35,6 +36,17 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "parity", "round_trip")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after three edits of every document: an insertion, a deletion and a replacement."""
+    path = tokenizer_path()
+    trees = build_trees(_table(spark, sf_dir, "documents"), path)
+    at = lambda i: F.pmod(F.xxhash64("doc_id", F.lit(i)), F.length("text") + 1).cast("int")
+    edit = lambda i, gone, new: F.struct(at(i).alias("start"), (at(i) + gone).alias("stop"), F.lit(new).alias("replacement"))
+    edits = F.array(edit(1, 0, " as revised,"), edit(2, 40, ""), edit(3, 12, "2026\n"))
+    out = apply_edits(trees.withColumn("edits", edits), path)
+    return out.select("doc_id", F.col("n_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_encoded", F.crc32(F.encode("text", "utf-8")).alias("text_crc32"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     base = base_spans(F.col("spans"))
@@ -85,6 +97,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_token_counts": op2_token_counts,
     "op3_secret_scan": op3_secret_scan,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_vector_topk": op5_vector_topk,
