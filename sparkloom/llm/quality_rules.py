@@ -7,11 +7,14 @@ leaving a rule out, is a bitwise aggregation over the ledger and reads no text a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .wordhash import BLOCK, hash_spans, mix64, slices, text_buffers, windows, word_bounds
 
@@ -89,34 +92,41 @@ def measure(col: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def failed_bits() -> Column:
-    """One bit for each rule that fails on the measures of a row."""
-    bits = [F.when(F.expr(fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (_, fails) in enumerate(RULES)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return out
+def failed_bits(entry: str) -> Column:
+    """One bit for each rule that fails on the measures in the struct ``entry``."""
+    fails = [re.sub(r"\b[a-z_]+\b", lambda m: f"`{entry}`.{m[0]}", condition) for _, condition in RULES]
+    return reduce(Column.bitwiseOR, [F.when(F.expr(c), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(fails)])
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the MEASURES (long) and ``failed`` (long, bit i for RULES[i]) of every row of ``docs``.
+def annotate(docs: DataFrame, into: str) -> DataFrame:
+    """``docs`` with one more column ``into``: a struct of the MEASURES (long) and ``failed`` (long).
 
-    Needs doc_id (integer) and text; other columns are not read.  Null and empty texts measure 0
-    everywhere, so they fail ``few_words`` only.  Repeated rows give repeated ledger rows.
+    Needs text only.  ``failed`` has bit i for RULES[i].  Null and empty texts measure 0 everywhere,
+    so they fail ``few_words`` only.  All columns come through, whatever their names; one named
+    ``into`` is replaced.  Repeated rows give repeated results, an empty table an empty one.
     """
+    held = docs.drop(into)
+    names, column = held.columns, held.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 2 * BLOCK):
-            found = measure(batch.column(1))
-            yield pa.record_batch([batch.column(0), *(pa.array(found[m], pa.int64()) for m in MEASURES)], ["doc_id", *MEASURES])
+        for batch in slices(batches, column, 2 * BLOCK):
+            found = measure(batch.column(column))
+            struct = pa.StructArray.from_arrays([pa.array(found[m], pa.int64()) for m in MEASURES], list(MEASURES))
+            yield pa.record_batch([*batch.columns, struct], [*names, into])
+
+    kind = StructType([StructField(m, LongType()) for m in MEASURES])
+    out = held.mapInArrow(scan, StructType([*held.schema.fields, StructField(into, kind)]))
+    return out.withColumn(into, F.struct(*[F.col(f"`{into}`.{m}").alias(m) for m in MEASURES], failed_bits(into).alias("failed")))
 
-    schema = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
+
+def ledger(docs: DataFrame) -> DataFrame:
+    """doc_id, the MEASURES and ``failed`` of every row of ``docs`` (doc_id integer, text), as in ``annotate``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(scan, schema).withColumn("failed", failed_bits())
+    return annotate(texts, "entry").select("doc_id", "entry.*")
 
 
-def passes(policy: str) -> Column:
-    return F.col("failed").bitwiseAND(F.lit(mask(policy))) == 0
+def passes(policy: str, failed: str = "failed") -> Column:
+    return F.col(failed).bitwiseAND(F.lit(mask(policy))) == 0
 
 
 def ablation(entries: DataFrame, policy: str) -> DataFrame:
