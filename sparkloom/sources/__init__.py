@@ -1 +1 @@
-
+"""Inbound and outbound connectors."""
