@@ -57,7 +57,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _lines(F.col("text")).alias("lines")).where("doc_id is not null")
-    found = _chunks(plain, "lines", "chunks", "hashes").select("doc_id", "lines", F.posexplode("chunks").alias("pos", "chunk")).where(F.col("chunk.n") >= LEAST_LINES)
+    # outer: a filter inferred from an inner one would have the chunks worked out once more for every line
+    found = _chunks(plain, "lines", "chunks", "hashes").select("doc_id", "lines", F.posexplode_outer("chunks").alias("pos", "chunk")).where(F.col("chunk.n") >= LEAST_LINES)
     found = found.select("doc_id", "pos", _text(F.col("lines"), F.col("chunk")).alias("bytes")).where(F.col("bytes").rlike(WORDED))
     found = found.select("doc_id", "pos", "bytes", F.unhex(F.md5("bytes")).alias("digest"))
 
@@ -76,12 +77,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kept = F.filter(chunks, lambda c, i: ~F.array_contains(dropped, i))
     gone = F.filter(chunks, lambda c, i: F.array_contains(dropped, i))
     changed = F.size(dropped) > 0
-    return out.withColumns(
-        {
-            "text": F.when(changed, F.array_join(F.transform(kept, lambda c: _text(lines, c)), "\n")).otherwise(F.col("text")),
-            names["lines_before"]: F.size(lines),
-            names["lines_removed"]: F.when(changed, F.aggregate(gone, F.lit(0), lambda a, c: a + c["n"])).otherwise(F.lit(0)),
-            names["chunks_all"]: F.size(chunks),
-            names["chunks_removed"]: F.size(dropped),
-        }
-    ).drop(*[names[n] for n in ("line_list", "chunk_list", "chunk_key", "chunk_drop")])
+    made = {
+        "text": F.when(changed, F.array_join(F.transform(kept, lambda c: _text(lines, c)), "\n")).otherwise(F.col("text")),
+        names["lines_before"]: F.size(lines),
+        names["lines_removed"]: F.when(changed, F.aggregate(gone, F.lit(0), lambda a, c: a + c["n"])).otherwise(F.lit(0)),
+        names["chunks_all"]: F.size(chunks),
+        names["chunks_removed"]: F.size(dropped),
+    }
+    # a generator of one row: later filters on these columns stay above it and do not repeat the work
+    one = F.inline_outer(F.array(F.struct(*[v.alias(k) for k, v in made.items()])))
+    out = out.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], one)
+    return out.select(*[f"`{c}`" for c in docs.columns], *[names[n] for n in ("lines_before", "lines_removed", "chunks_all", "chunks_removed")])
