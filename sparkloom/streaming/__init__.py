@@ -1 +1 @@
-
+"""Structured Streaming over events and the lake."""
