@@ -1,0 +1,184 @@
+"""Operators that SQL cannot express, against plain implementations on the small table."""
+
+import re
+import struct
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+
+from sparkloom.llm import jaccard_join, line_dedup, regex_trigrams, token_counts, vector_topk
+from sparkloom.llm.queries import op2_token_counts, op6_language_id, op8_substring_dedup, op10_packing, tokenizer_path
+from sparkloom.llm.wordhash import shingle_sets, words_of
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def test_words_are_hashed_alike_anywhere():
+    a, first = words_of(pa.array(["Ab cd\tef", None, "", "x ab cd " + "y" * 3000]), lower=True)
+    assert first.tolist() == [0, 3, 3, 3, 7] and a[0] == a[4] and a[1] == a[5] and len(set(a.tolist())) == 5
+
+
+@pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])
+def test_jaccard(spark, texts, words, percent):
+    ids = list(texts)
+    sets = [set(s.tolist()) for s in shingle_sets(pa.array([texts[i] for i in ids]), words)]
+    parent = list(range(len(ids)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, d in enumerate(ids):
+        least[root(i)] = min(d, least.get(root(i), d))
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.read.parquet(f"{SF}/documents.parquet"), words, percent).collect()}
+    assert got == {d: least[root(i)] for i, d in enumerate(ids)}
+
+
+def test_near_copies_without_a_common_centre(spark):
+    """Chains of small changes, many variants in one cell: links between any two count."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(300):
+        t = list(base)
+        for k in rng.choice(120, size=int(rng.integers(0, 6)), replace=False):
+            t[k] = f"new{rng.integers(1000)}"
+        docs.append((i, " ".join(t)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    sets = [set(s.tolist()) for s in shingle_sets(pa.array([t for _, t in docs]), 3)]
+    comp = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both) and comp[i] != comp[j]:
+                a, b = sorted((comp[i], comp[j]))
+                comp = [a if c == b else c for c in comp]
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()} == dict(enumerate(comp))
+
+
+def test_tree_finds_all():
+    rng = np.random.default_rng(1)
+    points = rng.poisson(3, (500, jaccard_join.GROUPS)).astype(np.int32)
+    points[100:140] = points[7] + rng.poisson(0.02, (40, jaccard_join.GROUPS))
+    sizes = points.sum(1)
+    tree = jaccard_join.CountVectorTree(points, sizes)
+    for i in (0, 7, 120, 499):
+        bound = np.minimum(points, points[i]).sum(1)
+        fits = (100 * sizes >= 90 * sizes[i]) & (100 * sizes[i] >= 90 * sizes) & (bound >= jaccard_join.needed(sizes, sizes[i], 90))
+        assert set(np.flatnonzero(fits)) <= set(tree.search(points[i], int(sizes[i]), 90).tolist())
+
+
+def test_line_dedup(spark, texts):
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    one = lambda t: signed(xxhash.xxh64(t.encode(), seed=42).intdigest())
+
+    def two(a, b):
+        return signed(xxhash.xxh64(struct.pack("<q", b), seed=xxhash.xxh64(struct.pack("<q", a), seed=42).intdigest()).intdigest())
+
+    seen, want = set(), {}
+    for i in sorted(texts):
+        lines = texts[i].split("\n")
+        hashes, now, kept = [one(x) for x in lines], [], []
+        for k, line in enumerate(lines):
+            now.append(line)
+            if k == len(lines) - 1 or two(hashes[max(k - 1, 0)], hashes[k]) % line_dedup.DIVISOR == 0:
+                chunk = "\n".join(now)
+                again = len(now) > 1 and re.search(line_dedup.WORDED, chunk) and chunk in seen
+                seen.add(chunk) if len(now) > 1 else None
+                kept += [] if again else [chunk]
+                now = []
+        want[i] = "\n".join(kept)
+    got = line_dedup.dedup_lines(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert {r.doc_id: r.text for r in got.collect()} == want
+
+
+def test_no_long_passage_stays_twice(spark, texts):
+    """No run of 50 words is left in two documents, and removed text had been elsewhere."""
+
+    def runs(text):
+        w = text.split()
+        return {" ".join(w[i : i + 50]) for i in range(len(w) - 49)}
+
+    got = {r.doc_id: r for r in op8_substring_dedup(spark, SF).collect()}
+    before = Counter(k for t in texts.values() for k in runs(t))
+    after = Counter(k for r in got.values() for k in runs(r.text))
+    assert max(before.values()) > 1 and max(after.values(), default=1) == 1
+    assert sum(r.removed_chars == 0 for r in got.values()) > len(got) / 2
+
+
+def test_language_is_right_on_held_out_texts(spark):
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    held = [r for r in op6_language_id(spark, SF).collect() if r.held_out]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held) > 20
+
+
+def test_packed_ids(spark, texts):
+    from zlib import crc32
+
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenizer_path())
+    ids = {i: np.array([*own.encode(t, add_special_tokens=False).ids, 1], dtype="<u4") for i, t in texts.items()}
+    covered = Counter()
+    for r in op10_packing(spark, SF).collect():
+        assert crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+        covered[r.doc_id] += r.length
+    assert covered == Counter({i: len(x) for i, x in ids.items()})
+
+
+def test_edited_counts(spark, texts):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenizer_path())
+    got = op2_token_counts(spark, SF).collect()
+    assert all(r.n_tokens == len(own.encode(texts[r.doc_id], add_special_tokens=False).ids) for r in got)
+
+
+def test_edits_equal_a_fresh_count():
+    pre = token_counts.PreTokens(token_counts.encoder(tokenizer_path()))
+    rng = np.random.default_rng(2)
+    bits = ["a", "b", " ", "  ", "\n", "'ll", "'", "9", "!", "é", "你", "word", "\t", "'s"]
+    make = lambda n: "".join(rng.choice(bits, n))
+    for n in (0, 1, 5, 50, 400) * 20:
+        text = make(n)
+        tree = token_counts.TokenTree.of(text, pre)
+        for _ in range(4):
+            a = int(rng.integers(0, len(text) + 1))
+            b, new = a + int(rng.integers(0, 9)), make(int(rng.integers(0, 6)))
+            want = text[:a] + new + text[b:]
+            text, _ = tree.edit(text, a, b, new, pre)
+            assert text == want and tree.tokens == len(pre.bpe.encode([text])[0])
+        assert token_counts.TokenTree.load(tree.dump()).tokens == tree.tokens
+
+
+def test_trigrams_hold_for_every_match():
+    def holds(q, text):
+        return q[1] in text if q[0] == "gram" else (all if q[0] == "and" else any)(holds(x, text) for x in q[1:])
+
+    for pattern, text in [("AKIA[A-Z0-9]+", "xAKIAZ9"), ("(?i)(api_?key|token)=", "my Api_Key="), ("(abc|d)+xyz", "dxyz"), ("a{2,3}bcd?e", "aabce"), ("[0-9a-f]{32,}", "0" * 32), ("^foo(bar)?baz$", "foobaz")]:
+        assert re.search(pattern, text) and holds(regex_trigrams.trigram_query(pattern), text.lower())
+    assert regex_trigrams.trigram_query("[0-9a-f]{32,}") == regex_trigrams.ANY
+
+
+def test_bounds_enclose_scores():
+    rng = np.random.default_rng(4)
+    block = vector_topk.ApproximationFile(np.arange(200), rng.normal(0, 20, (200, 8)).round())
+    queries = rng.normal(0, 20, (9, 8)).round()
+    low, high = block.bounds(queries)
+    exact = queries @ block.vectors.T
+    assert (low <= exact).all() and (exact <= high).all()
