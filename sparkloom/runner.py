@@ -102,7 +102,7 @@ class Runner:
         text = to_spark(self.spark, substitute(model.sql, variables), lambda n: self.table(n).columns)
         last = self.lake.log.latest(model.target)
         spans = {r.name: text[r.start : r.stop + 1] for r in relations(self.spark, text) if r.table_function}
-        called = {n: self._call(t, model, known | {"target": model.target}) for n, t in spans.items() if n in READERS or n in fetching.REGISTRY}
+        called = {n: self._call(t, model, known) for n, t in spans.items() if n in READERS or n in fetching.REGISTRY}
         quiet = bool(called) and all(q for _, q in called.values())
         frames: dict[str, DataFrame] = {n: df for n, (df, _) in called.items()}
         if model.kind in ("append", "merge") and run_type == decide.INCREMENTAL and last is not None:

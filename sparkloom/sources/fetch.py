@@ -66,7 +66,7 @@ class Fetched:
 
 def fetch_rows(lib: Library, args: list, state: State, target: str, sleep: Callable[[float], None] = time.sleep, **known) -> Fetched:
     """All rows of a call, through the buffer of ``target``; rows left by a crashed run come first."""
-    no_change, seen = False, set()
+    no_change, seen, known = False, set(), known | {"target": target}
     try:
         if lib.submit is not None:
             job, wait, began = call(lib.submit, *args, **known), lib.interval, time.monotonic()

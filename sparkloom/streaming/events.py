@@ -7,23 +7,27 @@ from pyspark.sql import DataFrame, functions as F
 from ..lake import Lake
 
 
+def _watermarked(events: DataFrame, time: str, late: str | None) -> DataFrame:
+    """A stream's watermark; it needs times with a zone."""
+    if late is None or not events.isStreaming:
+        return events
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def tumbling(events: DataFrame, time: str, width: str, by: list[str] = (), late: str | None = None) -> DataFrame:
     """start, by..., n: events per window; ``late`` is the watermark of a stream."""
-    if late is not None and events.isStreaming:
-        events = events.withWatermark(time, late)
+    events = _watermarked(events, time, late)
     return events.groupBy(F.window(time, width).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *by, "n")
 
 
 def sliding(events: DataFrame, time: str, width: str, step: str, by: list[str] = (), late: str | None = None) -> DataFrame:
-    if late is not None and events.isStreaming:
-        events = events.withWatermark(time, late)
+    events = _watermarked(events, time, late)
     return events.groupBy(F.window(time, width, step).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *by, "n")
 
 
 def sessions(events: DataFrame, time: str, gap: str, by: list[str], late: str | None = None) -> DataFrame:
     """by..., start, end, n: runs of events with less than ``gap`` between them; end is the last event's time plus the gap."""
-    if late is not None and events.isStreaming:
-        events = events.withWatermark(time, late)
+    events = _watermarked(events, time, late)
     grouped = events.groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
     return grouped.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
