@@ -13,14 +13,17 @@ link lies outside all cells.  The order is by the counts of a fixed-size sketch,
 keeps frequent passages out of the cells; results do not depend on it.
 
 Copies never meet pair by pair.  Equal sets are one node; in a cell every node is first compared
-with three leaders only, components follow from those links, and trees are searched only for pairs
-in different components.  A cell of many components is cut into blocks of bounded size.
+with a few leaders only, components follow from those links, and trees are searched only for pairs
+in different components, each in one of the cells they share.  A cell of many components is cut into
+blocks of bounded size.  Before whole sets are read, the shared rarest shingles bound the overlap once
+more: up to the place where the shorter list ends, what two sets share is known exactly.
 
 Identity: a set is known by a 64-bit fingerprint and its size, a shingle by a 64-bit hash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +33,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
 from .scratch import Scratch
-from .wordhash import mix64, shingle_sets
+from .wordhash import mix64, shingle_sets, slices
 
-SKETCH_BITS = 20
+SKETCH_BITS = 18
 GROUPS = 64
 BLOCK_ROWS = 512
 LEAF = 16
+#: Leaders of a cell; cells of COVERED nodes or fewer are compared in full by the first two.
+LEADERS, COVERED = 8, 3
 _U = np.uint64
 
 
@@ -54,6 +59,20 @@ def count_vector(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles & _U(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
+def rarest_bound(keys_a: np.ndarray, keys_b: np.ndarray, size_a: int, size_b: int, counts: np.ndarray) -> tuple[int, int]:
+    """(upper bound of the overlap, least shared key as a signed number) from two lists of rarest shingles in order."""
+    both = np.intersect1d(keys_a, keys_b, assume_unique=True)
+    if not len(both):
+        return 0, 0
+    place = lambda k: (int(counts[int(k) >> (64 - SKETCH_BITS)]), int(k))
+    end_a, end_b = place(keys_a[-1]), place(keys_b[-1])
+    short, long, end, left = (keys_a, keys_b, end_a, size_b) if end_a <= end_b else (keys_b, keys_a, end_b, size_a)
+    of = counts[(long >> _U(64 - SKETCH_BITS)).astype(np.int64)]
+    within = int(((of < end[0]) | (of == end[0]) & (long <= _U(end[1]))).sum())
+    rest = size_a - len(keys_a) if short is keys_a else size_b - len(keys_b)
+    return len(both) + min(rest, left - within), int(both.view(np.int64).min())
+
+
 class CountVectorTree:
     """Static R-tree over count vectors: leaves of LEAF points, boxes kept as upper corners."""
 
@@ -86,7 +105,7 @@ def rarity_sketch(texts: DataFrame, words: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches, 0):
             for s in shingle_sets(batch.column(0), words):
                 np.add.at(total, (s >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
         at = np.flatnonzero(total)
@@ -101,101 +120,175 @@ def rarity_sketch(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
-    """(doc_id, node, n, keys): keys are the set's rarest shingles, as many as the similarity asks for."""
+    """(doc_id, node, n, vector, keys): keys are the set's rarest shingles, as many as the similarity asks for."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
-        for batch in batches:
-            nodes, sizes, keys = [], [], []
+        for batch in slices(batches, 1):
+            nodes, sizes, vectors, keys = [], [], [], []
             for s in shingle_sets(batch.column(1), words):
                 nodes.append(fingerprint(s))
                 sizes.append(len(s))
+                vectors.append(count_vector(s).tobytes())
                 prefix = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 order = np.lexsort((s, counts[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)]))[:prefix]
                 keys.append(s[order].view(np.int64))
             ends = np.cumsum([0, *map(len, keys)])
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "node", "n", "keys"])
+            yield pa.record_batch(
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(vectors, pa.binary()), lists],
+                ["doc_id", "node", "n", "vector", "keys"],
+            )
 
-    return docs.mapInArrow(sign, "doc_id long, node long, n long, keys array<long>")
+    return docs.mapInArrow(sign, "doc_id long, node long, n long, vector binary, keys array<long>")
 
 
-def _points(docs: DataFrame, words: int) -> DataFrame:
-    """(node, n, vector, shingles) of whole texts, the last two as little-endian arrays."""
+def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, shingles as little-endian uint64) of at least the documents in ``wanted`` (doc_id).
+
+    Up to MAP_IDS ids are sent out as a bit map of hashes, 16 bits an id, and no text is moved; the
+    few others that it lets through do no harm.  More ids than that are joined.
+    """
+    bits = 1 << min(22, max(16, (16 * wanted.count()).bit_length()))
+    word = F.struct(F.expr("h div 63").alias("at"), F.expr("shiftleft(1L, cast(pmod(h, 63) as int))").alias("bit"))
+    if bits < 1 << 22:
+        hashed = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("h")).select(word.alias("w"))
+        rows = hashed.groupBy("w.at").agg(F.bit_or("w.bit").alias("bit")).toArrow()
+        table = np.zeros(bits // 63 + 1, dtype=np.int64)
+        table[rows.column("at").to_numpy()] = rows.column("bit").to_numpy()
+        shared = texts.sparkSession.sparkContext.broadcast(table)
+        texts = texts.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("h"))
+    else:
+        shared = None
+        texts = texts.join(wanted, "doc_id", "left_semi").select("text", F.lit(0).cast("long").alias("h"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(fingerprint(s), len(s), count_vector(s).tobytes(), s.tobytes()) for s in shingle_sets(batch.column(0), words)]
-            cols = list(zip(*rows)) if rows else [(), (), (), ()]
-            yield pa.record_batch(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["node", "n", "vector", "shingles"]
-            )
+            if shared is not None:
+                h = batch.column(1).to_numpy()
+                batch = batch.filter(pa.array((shared.value[h // 63] >> (h % 63)) & 1 == 1))
+            for part in slices(iter([batch]), 0):
+                sets = list(shingle_sets(part.column(0), words))
+                yield pa.record_batch([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+
+    return texts.mapInArrow(build, "node long, shingles binary")
 
-    return docs.mapInArrow(build, "node long, n long, vector binary, shingles binary")
 
+def _bounded(pairs: DataFrame, nodes: DataFrame, sketch, percent: int) -> DataFrame:
+    """The pairs (a, b) of count vectors and rarest shingles that allow a link."""
 
-def _verified(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sketch.value
+        for batch in batches:
+            va, vb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int32).reshape(-1, GROUPS) for i in (2, 3))
+            na, nb = va.sum(1), vb.sum(1)
+            least = needed(na, nb, percent)
+            keep = np.minimum(va, vb).sum(1) >= least
+            ka, kb = batch.column(4), batch.column(5)
+            for i in np.flatnonzero(keep):
+                x, y = (k[int(i)].values.to_numpy().view(_U) for k in (ka, kb))
+                keep[i] = rarest_bound(x, y, int(na[i]), int(nb[i]), counts)[0] >= least[i]
+            keep = pa.array(keep)
+            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    side = {s: nodes.select(F.col("node").alias(s), F.col("vector").alias(f"v{s}"), F.col("keys").alias(f"k{s}")) for s in "ab"}
+    return pairs.join(side["b"], "b").join(side["a"], "a").select("a", "b", "va", "vb", "ka", "kb").mapInArrow(check, "a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links.  Plain joins on both sides: a hot leader is split at run time."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            va, vb, sa, sb = (batch.column(i).to_pylist() for i in range(2, 6))
-            keep = np.zeros(len(a), dtype=bool)
-            for i in range(len(a)):
-                x, y = len(sa[i]) // 8, len(sb[i]) // 8
-                least = needed(x, y, percent)
-                if np.minimum(np.frombuffer(va[i], np.int32), np.frombuffer(vb[i], np.int32)).sum() < least:
-                    continue
-                both = np.concatenate((np.frombuffer(sa[i], _U), np.frombuffer(sb[i], _U)))
+            sa, sb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep = np.zeros(len(sa), dtype=bool)
+            for i, (x, y) in enumerate(zip(sa, sb)):
+                both = np.frombuffer(x + y, _U).copy()
                 both.sort()
-                keep[i] = int((both[1:] == both[:-1]).sum()) >= least
-            yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
-
-    side = {s: points.select(F.col("node").alias(s), F.col("vector").alias(f"v{s}"), F.col("shingles").alias(f"s{s}")) for s in "ab"}
-    return pairs.join(side["b"], "b").join(side["a"], "a").select("a", "b", "va", "vb", "sa", "sb").mapInArrow(check, "a long, b long")
-
-
-def _across(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+                keep[i] = int((both[1:] == both[:-1]).sum()) >= needed(len(x) // 8, len(y) // 8, percent)
+            yield pa.record_batch([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+
+    side = {s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s{s}")) for s in "ab"}
+    return pairs.join(side["b"], "b").join(side["a"], "a").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with equal values in the first ``by`` columns, each in one batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy() for i in range(by)]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            key = tuple(c[i] for c in cols)
+            if held and key != last:
+                yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                held = []
+            held.append(batch.slice(i, j - i))
+            last = key
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
+
+
+def _across(members: DataFrame, nodes: DataFrame, sketch, percent: int) -> DataFrame:
     """Pairs (a, b) within a cell, in different components, that the cell's R-trees leave over.
 
     A cell's largest component needs no look inside: its other members ("guests") search all.
-    Group (key, block, guests' block) holds about BLOCK_ROWS of either, however large the cell.
+    Group (key, band, block, guests' block) holds about BLOCK_ROWS of either, however large the cell.
+    A pair is taken in the cell of its least shared key only.
     """
-    by_comp = members.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    by_comp = members.groupBy("key", "band", "comp").agg(F.count("*").alias("m"))
     cells = (
-        by_comp.groupBy("key")
+        by_comp.groupBy("key", "band")
         .agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.sum("m").alias("m"), F.max("m").alias("inside"), F.count("*").alias("comps"))
         .where("comps > 1")
         .select(
             "key",
+            "band",
             "most",
             F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"),
             F.ceil((F.col("m") - F.col("inside")) / BLOCK_ROWS).cast("int").alias("guests"),
         )
     )
-    rows = members.join(cells, "key").join(points.select("node", "vector"), "node")
+    rows = members.join(cells, ["key", "band"]).join(nodes.select("node", "n", "vector", "keys"), "node")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    cols = ["key", "node", "n", "comp", "vector"]
-    tree = rows.select(*cols, F.lit(False).alias("guest"), place("blocks").alias("block"), spread("guests").alias("part"))
-    guests = rows.where("comp <> most").select(*cols, F.lit(True).alias("guest"), spread("blocks").alias("block"), place("guests").alias("part"))
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        inside, ask = group[~group.guest], group[group.guest]
-        a, b = [], []
-        if len(inside) and len(ask):
-            at = CountVectorTree(np.stack([np.frombuffer(v, np.int32) for v in inside.vector]), inside.n.to_numpy())
-            nodes, comps = inside.node.to_numpy(), inside.comp.to_numpy()
-            for node, n, comp, vector in zip(ask.node, ask.n, ask.comp, ask.vector):
-                found = at.search(np.frombuffer(vector, np.int32), int(n), percent)
-                found = nodes[found[comps[found] != comp]]
-                a.append(np.minimum(found, node))
-                b.append(np.maximum(found, node))
-        return pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
-
-    return tree.unionByName(guests).groupBy("key", "block", "part").applyInPandas(search, "a long, b long").distinct()
+    cols = ["node", "n", "comp", (F.col("comp") != F.col("most")).alias("other"), "vector", "keys"]
+    tree = rows.select("key", "band", place("blocks").alias("block"), spread("guests").alias("part"), F.lit(False).alias("guest"), *cols)
+    guests = rows.where("comp <> most").select("key", "band", spread("blocks").alias("block"), place("guests").alias("part"), F.lit(True).alias("guest"), *cols)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sketch.value
+        for group in _groups(batches, 4):
+            guest = group.column(4).to_numpy(zero_copy_only=False)
+            ask, inside = np.flatnonzero(guest), np.flatnonzero(~guest)
+            if not len(ask) or not len(inside):
+                continue
+            key = group.column(0)[0].as_py()
+            nodes, sizes, comps, other = (group.column(i).to_numpy(zero_copy_only=False) for i in (5, 6, 7, 8))
+            vectors = np.frombuffer(b"".join(group.column(9).to_pylist()), np.int32).reshape(-1, GROUPS)
+            lists = group.column(10)
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(_U)
+            keys = lambda i: flat[offsets[i] : offsets[i + 1]]
+            at = CountVectorTree(vectors[inside], sizes[inside])
+            a, b = [], []
+            for i in ask.tolist():
+                for j in inside[at.search(vectors[i], int(sizes[i]), percent)].tolist():
+                    # two guests find each other twice
+                    if comps[j] == comps[i] or other[j] and nodes[j] > nodes[i]:
+                        continue
+                    bound, shared = rarest_bound(keys(i), keys(j), int(sizes[i]), int(sizes[j]), counts)
+                    if bound >= needed(int(sizes[i]), int(sizes[j]), percent) and shared == key:
+                        a.append(min(nodes[i], nodes[j]))
+                        b.append(max(nodes[i], nodes[j]))
+            if a:
+                yield pa.record_batch([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], ["a", "b"])
+
+    dealt = tree.unionByName(guests).repartition("key", "band", "block", "part").sortWithinPartitions("key", "band", "block", "part")
+    return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -216,33 +309,51 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     sketch = spark.sparkContext.broadcast(rarity_sketch(texts.select("text"), words))
     signed = scratch.keep(_signatures(texts, sketch, words, percent), "signed")
     full = signed.where("n > 0")
-    nodes = scratch.keep(full.groupBy("node", "n").agg(F.min("doc_id").alias("first")), "nodes")
-
-    keyed = full.select("node", "n", F.explode("keys").alias("key")).distinct()
-    ranked = lambda seed: F.struct(F.xxhash64("node", F.lit(seed)).alias("r"), "node", "n")
-    cells = keyed.groupBy("key").agg(
-        F.count("*").alias("m"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"), *[F.min(ranked(i)).alias(f"l{i}") for i in range(3)]
-    )
-    # cells with the same members are one cell
-    cells = cells.where("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("key"), *[F.min(f"l{i}").alias(f"l{i}") for i in range(3)])
-    cells = scratch.keep(cells.select("key", "m", F.array("l0", "l1", "l2").alias("leaders")), "cells")
-    members = scratch.keep(keyed.join(cells, "key").select("key", "node", "n", "leaders"), "members")
-
-    wanted = members.select("node").distinct().join(nodes, "node").select(F.col("first").alias("doc_id")).distinct()
-    points = scratch.keep(_points(texts.join(wanted, "doc_id", "left_semi").select("text"), words).dropDuplicates(["node"]), "points")
-
-    alike = (F.col("n") * 100 >= F.col("leader.n") * percent) & (F.col("leader.n") * 100 >= F.col("n") * percent)
-    stars = (
-        members.select("node", "n", F.explode("leaders").alias("leader"))
-        .where(alike & (F.col("node") != F.col("leader.node")))
-        .select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
-        .distinct()
-    )
-    links = scratch.keep(_verified(stars, points, percent), "links-0")
+    nodes = full.groupBy("node", "n").agg(F.min("doc_id").alias("first"), F.min("vector").alias("vector"), F.min("keys").alias("keys"))
+    nodes = scratch.keep(nodes, "nodes")
+
+    def found_in(rows: DataFrame, by: list[str], extra: list) -> DataFrame:
+        """Cells of two nodes or more; those with the same nodes are one, known by the least key."""
+        cells = rows.groupBy(*by).agg(F.count("*").alias("m"), F.bit_xor("node").alias("x"), F.min("node").alias("a"), F.max("node").alias("b"), *extra).where("m > 1")
+        names = [c for c in cells.columns if c not in (*by, "m", "x", "a", "b")]
+        least = cells.groupBy("m", "x", "a", "b").agg(F.min(F.struct(*by)).alias("at"), *[F.min(c).alias(c) for c in names])
+        return least.select("at.*", "m", "a", "b", *names)
+
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    cells = scratch.keep(found_in(keyed, ["key"], []), "cells")
+    # sets of too different sizes never link: bands of sizes, each set in its own and the next one,
+    # leave only those together that may
+    width = math.log(100 / percent) * 1.000001 if percent < 100 else 1e-9
+    band = F.floor(F.log("n") / width)
+    members = keyed.join(cells.where("m > 2").select("key"), "key").join(nodes.select("node", "n"), "node")
+    members = scratch.keep(members.select("key", F.explode(F.array(band, band + 1)).alias("band"), "node"), "members")
+    rank = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("r"), "node")).alias(f"l{i}")
+    banded = found_in(members, ["key", "band"], [rank(i) for i in range(LEADERS)])
+    banded = scratch.keep(banded.select("key", "band", "m", "a", "b", F.array(*[f"l{i}.node" for i in range(LEADERS)]).alias("leaders")), "banded")
+    members = scratch.keep(members.join(banded, ["key", "band"]), "banded-members")
+
+    # up to COVERED nodes, the first and the last of a cell meet all others
+    few = F.when(F.col("m") > COVERED, F.concat("leaders", F.array("a", "b"))).otherwise(F.array("a", "b"))
+    stars = cells.where("m = 2").select("a", "b").unionByName(members.select(F.explode(few).alias("a"), F.col("node").alias("b")))
+    stars = stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sizes = {s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}")) for s in "ab"}
+    stars = stars.join(sizes["b"], "b").join(sizes["a"], "a").where(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na").select("a", "b")
+
+    def linked(pairs: DataFrame, step: str) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = scratch.keep(ends.join(nodes, "node").select(F.col("first").alias("doc_id")).distinct(), f"wanted-{step}")
+        sets = scratch.keep(_sets(texts, wanted, words), f"sets-{step}")
+        links = scratch.keep(_verified(pairs, sets, percent), f"links-{step}")
+        scratch.drop(f"sets-{step}", f"wanted-{step}")
+        return links
+
+    near = scratch.keep(_bounded(scratch.keep(stars, "stars"), nodes, sketch, percent), "near")
+    links = linked(near, "star")
     labels = connected_components(links, scratch, "star")
 
-    labelled = scratch.keep(members.select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("comp")), "labelled")
-    more = scratch.keep(_verified(scratch.keep(_across(labelled, points, percent), "pairs"), points, percent), "links-1")
+    labelled = members.where(F.col("m") > COVERED).join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("comp"))
+    across = scratch.keep(_across(scratch.keep(labelled, "labelled"), nodes, sketch, percent), "pairs").join(near, ["a", "b"], "left_anti")
+    more = linked(scratch.keep(across, "across"), "across")
     links = scratch.keep(links.unionByName(more).distinct(), "links")
     labels = connected_components(links, scratch, "all")
 
@@ -251,7 +362,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     )
     least = scratch.keep(labelled.groupBy("label").agg(F.min("first").alias("component_id")), "least")
     of = scratch.keep(labelled.join(least, "label").select("node", "n", "component_id"), "of")
-    scratch.drop("cells", "members", "points", "pairs", "labelled", "links-0", "links-1", "links", "least", "nodes-labelled", "nodes")
-    linked = full.select("doc_id", "node", "n").join(of, ["node", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    scratch.drop("cells", "members", "banded", "banded-members", "stars", "near", "pairs", "across", "labelled", "links-star", "links-across", "links", "least", "nodes-labelled", "nodes")
+    grouped = full.select("doc_id", "node", "n").join(of, ["node", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    return grouped.unionByName(alone)
