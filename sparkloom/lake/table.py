@@ -127,14 +127,21 @@ class Lake:
     def drop(self, name: str) -> Commit:
         return self.commit({name: {"dropped": True, "files": [], "schema": StructType([]).jsonValue()}}, {"drop": name})
 
-    def touched_files(self, name: str, keys: DataFrame, key: str) -> list[str]:
-        """The files with a row whose key (null equals null) is among ``keys``: all that a merge has to rewrite."""
-        rows = self.read(name, rowid=True).select(F.col(f"`{key}`").alias("k"), F.input_file_name().alias("file"))
-        hit = rows.join(keys.select(F.col(f"`{key}`").alias("s")), F.col("k").eqNullSafe(F.col("s")), "left_semi")
-        found = {r.file for r in hit.select("file").distinct().collect()}
-        known = self._entry(name, None)["files"]
-        plain = lambda p: p.replace("file:///", "file:/")
-        return [f for f in known if plain(f) in {plain(x) for x in found}]
+    def touched_files(self, name: str, keys: DataFrame, by: list[str], where: str = "true") -> list[str]:
+        """The files with a row that has one of the keys (null equals null): all that a change has to rewrite."""
+        entry = self._entry(name, None)
+        names = [f"k{i}" for i in range(len(by))]
+        rows = self.read(name, rowid=True).where(where).select(*[F.col(f"`{k}`").alias(n) for k, n in zip(by, names)], F.input_file_name().alias("file"))
+        wanted = keys.select(*[F.col(f"`{k}`").alias(f"s{i}") for i, k in enumerate(by)])
+        same = F.lit(True)
+        for i, n in enumerate(names):
+            same = same & F.col(n).eqNullSafe(F.col(f"s{i}"))
+        found = {_plain(r.file) for r in rows.join(wanted, same, "left_semi").select("file").distinct().collect()}
+        return [f for f in entry["files"] if _plain(f) in found]
+
+
+def _plain(path: str) -> str:
+    return path.replace("file:///", "file:/")
 
 
 def storage_transform(hint: str) -> Column:

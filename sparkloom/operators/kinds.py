@@ -80,30 +80,42 @@ def scd2_first(source: DataFrame, snapshot: int) -> DataFrame:
     return source.withColumns({start: F.lit(snapshot).cast("long"), end: F.lit(None).cast("long"), current: F.lit(True)})
 
 
+def scd2_changes(current: DataFrame, source: DataFrame, key: str) -> DataFrame:
+    """key, __old and __new (structs of the source's other columns, or null) of keys that are new, changed or gone.
+
+    ``current`` are the open rows; a column that they lack counts as null.
+    """
+    key = key_name(source, key)
+    values = [c for c in source.columns if c != key]
+    for c in set(values) - set(current.columns):
+        current = current.withColumn(c, F.lit(None).cast(source.schema[c].dataType))
+    pack = lambda df, name: df.select(F.col(f"`{key}`"), F.struct(F.lit(1), *[F.col(f"`{c}`") for c in values]).alias(name))
+    return pack(current, "__old").join(pack(source, "__new"), key, "full").where(~F.col("__old").eqNullSafe(F.col("__new")))
+
+
+def scd2_closed(rows: DataFrame, changes: DataFrame, key: str, snapshot: int) -> DataFrame:
+    """History rows, those closed whose key is among the changes."""
+    _, end, current = SCD2_COLUMNS
+    touched = changes.where("__old is not null").select(F.col(f"`{key}`")).withColumn("__closed", F.lit(True))
+    close = F.col(current) & F.coalesce(F.col("__closed"), F.lit(False))
+    marked = rows.join(touched, key, "left").withColumns({end: F.when(close, F.lit(snapshot - 1).cast("long")).otherwise(F.col(end)), current: F.col(current) & ~close})
+    return marked.select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def scd2_opened(changes: DataFrame, key: str, columns: list[str], snapshot: int) -> DataFrame:
+    new = changes.where("__new is not null")
+    return scd2_first(new.select(*[F.col(f"`{c}`") if c == key else F.col(f"__new.`{c}`").alias(c) for c in columns]), snapshot)
+
+
 def scd2(target: DataFrame | None, source: DataFrame, key: str, snapshot: int) -> Result:
     """Kind ``scd2``: history by validity.  Keys that changed or went are closed at ``snapshot`` - 1,
-    new and changed ones opened at ``snapshot``.  A column that the table lacks counts as null."""
-    start, end, current = SCD2_COLUMNS
+    new and changed ones opened at ``snapshot``."""
     key = key_name(source, key)
     if target is None:
         return Result(scd2_first(source, snapshot), _count(source))
-    values = [c for c in source.columns if c != key]
-    for c in set(source.columns) - set(target.columns):
-        target = target.withColumn(c, F.lit(None).cast(source.schema[c].dataType))
-    now = target.where(F.col(current))
-    marked = now.select(F.col(f"`{key}`"), F.struct(F.lit(1), *[F.col(f"`{c}`") for c in values]).alias("__old"))
-    fresh = source.select(F.col(f"`{key}`"), F.struct(F.lit(1), *[F.col(f"`{c}`") for c in values]).alias("__new"))
-    both = marked.join(fresh, key, "full")
-    changed = both.where(~F.col("__old").eqNullSafe(F.col("__new")))
-    opened = changed.where("__new is not null").select(f"`{key}`", *[F.col(f"__new.`{c}`").alias(c) for c in values])
-    opened = scd2_first(opened, snapshot)
-    touched = changed.where("__old is not null").select(f"`{key}`").withColumn("__closed", F.lit(True))
-    close = F.col(current) & F.coalesce(F.col("__closed"), F.lit(False))
-    kept = target.join(touched, key, "left").withColumns(
-        {end: F.when(close, F.lit(snapshot - 1).cast("long")).otherwise(F.col(end)), current: F.col(current) & ~close}
-    )
-    table = kept.drop("__closed").select(*[f"`{c}`" for c in target.columns]).unionByName(opened, allowMissingColumns=True)
-    return Result(table, _count(opened))
+    changes = scd2_changes(target.where(F.col(SCD2_COLUMNS[2])), source, key)
+    opened = scd2_opened(changes, key, source.columns, snapshot)
+    return Result(scd2_closed(target, changes, key, snapshot).unionByName(opened, allowMissingColumns=True), _count(opened))
 
 
 def content_hash(columns: list[str]) -> Column:
@@ -129,14 +141,23 @@ def hashed(source: DataFrame, keys: list[str]) -> DataFrame:
     return source.drop(HASH_COLUMN).join(groups, keys)
 
 
+def tracked_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and __kept (false where the group is gone) of groups whose hash is new, changed or gone.
+
+    Both sides need the keys and the group hash; each group counts once.
+    """
+    ids = lambda df, name: df.select(*[F.col(f"`{k}`") for k in keys], F.col(HASH_COLUMN).alias(name)).distinct()
+    both = ids(old, "__a").join(ids(new, "__b"), keys, "full")
+    return both.where(~F.col("__a").eqNullSafe(F.col("__b"))).select(*[F.col(f"`{k}`") for k in keys], F.col("__b").isNotNull().alias("__kept"))
+
+
 def tracked(target: DataFrame | None, source: DataFrame, keys: list[str]) -> Result:
     """Kind ``tracked``: groups whose content changed are replaced whole, missing ones deleted."""
     keys = [key_name(source, k) for k in keys]
     new = hashed(source, keys)
     if target is None:
         return Result(new, _count(new))
-    ids = [*keys, HASH_COLUMN]
-    old = target.select(*[f"`{c}`" for c in ids]).distinct()
-    upserts = new.join(old, ids, "left_anti").select(*[f"`{c}`" for c in new.columns])
-    stay = target.join(new.select(*[f"`{c}`" for c in ids]).distinct(), ids, "left_semi").select(*[f"`{c}`" for c in target.columns])
+    changes = tracked_changes(target, new, keys)
+    upserts = new.join(changes, keys, "left_semi").select(*[f"`{c}`" for c in new.columns])
+    stay = target.join(changes, keys, "left_anti").select(*[f"`{c}`" for c in target.columns])
     return Result(stay.unionByName(upserts, allowMissingColumns=True), _count(upserts))

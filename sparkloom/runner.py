@@ -201,11 +201,13 @@ class Runner:
     def _staged(self, df: DataFrame) -> DataFrame:
         """One evaluation of the query: everything after reads these files."""
         self._stage = f"{self.lake.root}/_staging/{uuid.uuid4().hex}"
+        self._extra: list[str] = []
         df.write.parquet(self._stage)
         return self.spark.read.schema(df.schema).parquet(self._stage)
 
     def _drop_staged(self) -> None:
-        self.lake.files.delete(self._stage)
+        for path in (self._stage, *self._extra):
+            self.lake.files.delete(path)
 
     def _evolution(self, model: Model, staged: DataFrame, out: RunResult) -> tuple[evolve.SchemaChange, list[tuple[str, str]]]:
         last = self.lake.log.latest(model.target)
@@ -253,25 +255,40 @@ class Runner:
             old = entry["files"] if same else write(rows(entry["files"]))
             return wanted, [*old, *write(staged)], staged.count()
         if model.kind == "merge":
-            files = lake.touched_files(target, staged, model.unique_key) if same else entry["files"]
+            files = lake.touched_files(target, staged, [model.unique_key]) if same else entry["files"]
             touched, key = rows(files), kinds.key_name(staged, model.unique_key)
             ids = touched.select(F.col(f"`{key}`").alias("__k"), ROWID)
             new = staged.join(ids, F.col(f"`{key}`").eqNullSafe(F.col("__k")), "left").drop("__k")
             merged = kinds.merge(touched, new, key)
             return wanted, [*[f for f in entry["files"] if f not in files], *write(merged.table)], staged.count()
         whole = rows(entry["files"])
+        keys = [kinds.key_name(staged, k) for k in model.keys]
         if model.kind == "scd2":
-            result = kinds.scd2(whole, staged, model.unique_key, base)
-            closed = whole.where("is_current").join(staged.select(F.col(f"`{kinds.key_name(staged, model.unique_key)}`").alias("__k")), F.col(f"`{model.unique_key}`") == F.col("__k"), "left_anti")
-            gone = not closed.isEmpty()
+            found = kinds.scd2_changes(whole.where("is_current"), staged, keys[0])
         else:
-            result = kinds.tracked(whole, staged, model.group_key)
-            keys = model.group_key
-            gone = not whole.select(*keys).join(staged.select(*keys).distinct(), keys, "left_anti").isEmpty()
-        n = result.affected.first()[0]
-        if not n and not gone and same:
+            new = kinds.hashed(staged, keys)
+            found = kinds.tracked_changes(whole, new, keys)
+        changes = self._kept(found)  # read several times below; only keys that changed
+        if same and changes.isEmpty():
             return None
-        return wanted, write(result.table), n
+        # files without a changed key stay as they are
+        if model.kind == "scd2":
+            files = lake.touched_files(target, changes.where("__old is not null"), keys, "is_current") if same else entry["files"]
+            more = kinds.scd2_opened(changes, keys[0], staged.columns, base)
+            left = kinds.scd2_closed(rows(files), changes, keys[0], base)
+        else:
+            files = lake.touched_files(target, changes, keys) if same else entry["files"]
+            more = new.join(changes, keys, "left_semi").select(*[f"`{c}`" for c in new.columns])
+            left = rows(files).join(changes, keys, "left_anti").select(*[f"`{c}`" for c in [*[f.name for f in wanted.fields], ROWID]])
+        made = write(left.unionByName(more, allowMissingColumns=True))
+        return wanted, [*[f for f in entry["files"] if f not in files], *made], more.count()
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        """Written beside the staged result, and gone with it."""
+        path = f"{self._stage}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self._extra.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def _warn(self, model: Model, out: RunResult, base: int) -> None:
         if not model.warnings:

@@ -211,3 +211,40 @@ def test_streams(spark, lake, tmp_path):
     counted = events.tumbling(stream, "ts", "1 hour", ["event_type"], late="1 hour")
     counted.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert {tuple(r) for r in spark.table("counted").collect()} == {tuple(r) for r in events.tumbling(table, "ts", "1 hour", ["event_type"]).collect()}
+
+
+def test_limits_retries_and_lookup(spark, lake):
+    from sparkloom.sources import net
+
+    now, slept = [0.0], []
+    limit = net.RateLimit(2, 1.0, clock=lambda: now[0], sleep=slept.append)
+    for _ in range(4):
+        limit.take()
+    assert slept == [0.5, 1.0]
+    calls = iter([net.Retry("busy", 3), net.Retry("busy"), None])
+
+    def call():
+        if (e := next(calls)) is not None:
+            raise e
+        return "done"
+
+    waits = []
+    assert net.with_retries(call, sleep=waits.append) == "done" and waits[0] == 3 and net.retryable(503) and not net.retryable(404)
+    Runner(spark, lake).run(parse_model("SELECT * FROM (VALUES ('a', 1), ('b', 2)) AS t(k, v)", "raw.l"))
+    assert net.lookup(lake, "raw.l", "k", "v", ["b"]) == {"b": 2} and net.lookup(lake, "no.no", "k", "v") == {}
+
+
+def test_history_and_groups_rewrite_touched_files_only(spark, lake):
+    runner = Runner(spark, lake)
+    src = lambda v: parse_model(f"SELECT id, id % 4 AS g, CASE WHEN id = 3 THEN {v} ELSE 0 END AS v FROM range(40) AS t(id)", "raw.s")
+    models = [parse_model("-- @kind: scd2\n-- @unique_key: id\n-- @partitioned_by: g\nSELECT id, g, v FROM raw.s", "mart.h"), parse_model("-- @kind: tracked\n-- @group_key: g\n-- @partitioned_by: g\nSELECT id, g, v FROM raw.s", "mart.t")]
+    runner.run_all([src(1), *models])
+    before = {m.target: set(lake.log.state(m.target)["files"]) for m in models}
+    found = {r.model: r for r in runner.run_all([src(2), *models])}
+    assert found["mart.h"].rows == 1 and found["mart.t"].rows == 10
+    assert lake.read("mart.h").count() == 41 and lake.read("mart.t").count() == 40
+    for m in models:
+        kept = before[m.target] & set(lake.log.state(m.target)["files"])
+        assert len(before[m.target]) == 1 or kept
+    changed = {r.change_type for r in lake.changes("mart.h", lake.log.last() - 1, lake.log.last()).collect()}
+    assert changed == {"insert", "update_preimage", "update_postimage"}
