@@ -11,8 +11,9 @@ from .language_id import identify
 from .line_dedup import dedup_lines
 from .packing import pack
 from .quality_rules import MEASURES, ledger, passes
-from .sentencepiece_bpe import encode
 from .secret_scan import RULES, base_spans, find_secrets, span_text
+from .sentencepiece_bpe import encode
+from .shipping import ship
 from .substring_dedup import dedup_substrings
 from .token_counts import apply_edits, build_trees
 from .vector_topk import exact_top_k
@@ -22,6 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

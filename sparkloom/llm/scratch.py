@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shipping import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset (tests on one machine) a folder of our own."""
@@ -27,6 +29,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, owner: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{owner}-{uuid.uuid4().hex}"
 
