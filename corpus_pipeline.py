@@ -16,6 +16,7 @@ from sparkloom.llm.quality_rules import annotate, passes
 from sparkloom.llm.queries import tokenizer_path
 from sparkloom.llm.scratch import Scratch
 from sparkloom.llm.secret_scan import find_secrets, redacted
+from sparkloom.llm.shipping import ship
 
 POLICY = "v1"
 #: Near duplicates: words of a shingle, and the least similarity in percent.
@@ -29,6 +30,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the policy rejects."""
+    ship(spark)
     entry = free_name(docs, "ledger")
     return annotate(docs, entry).where(passes(POLICY, f"{entry}.failed")).select(docs.columns)
 
@@ -57,6 +59,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a training sequence."""
+    ship(spark)
     pieces = pack(docs, tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_group")
 
