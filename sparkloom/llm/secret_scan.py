@@ -48,11 +48,14 @@ def trigram_postings(docs: DataFrame, grams: list[str], segments: int) -> DataFr
 
     ``docs`` has doc_id long and text.  Rows of null doc_id or text have no postings.
     """
-    lowered = docs.where("doc_id is not null and text is not null").select("doc_id", F.lower("text").alias("text"))
     known = F.array(*[F.lit(g) for g in grams])
-    held = lowered.select("doc_id", F.filter(known, lambda g: F.contains(F.col("text"), g)).alias("grams"))
+    # a one-element array binds the lower-cased text, so that it is made once and not for every trigram
+    held = F.transform(F.array(F.lower("text")), lambda t: F.filter(known, lambda g: F.contains(t, g)))[0]
     segment = F.pmod(F.xxhash64("doc_id"), F.lit(segments)).cast("int").alias("segment")
-    return held.select(segment, F.explode("grams").alias("gram"), "doc_id").groupBy("segment", "gram").agg(F.collect_set("doc_id").alias("docs"))
+    plain = docs.where("doc_id is not null and text is not null").select(segment, "doc_id", held.alias("grams"))
+    # outer: a filter inferred from an inner explode would scan the text once more
+    found = plain.select("segment", F.explode_outer("grams").alias("gram"), "doc_id").where("gram is not null")
+    return found.groupBy("segment", "gram").agg(F.collect_set("doc_id").alias("docs"))
 
 
 def _evaluate(query: tuple, postings: Column) -> Column:
