@@ -25,7 +25,7 @@ from .wordhash import BLOCK, slices
 SPACE = "▁"
 THREADS = 2
 #: Words whose ids a worker keeps, and the longest of them.
-CACHE, LONGEST = 1 << 17, 48
+CACHE, LONGEST = 1 << 19, 48
 #: What is checked of an encoding.
 PARITY, ROUND_TRIP = 1, 2
 TOGETHER = 2000
@@ -219,8 +219,8 @@ class SentencePieceCodec:
             self.words, self.wrong, new = {}, {}, list(need)
         ids, checks = self._by_word(new, verify)
         self.wrong.update((w, c) for w, c in zip(new, checks) if c != PARITY | ROUND_TRIP)
-        known = self.words | dict(zip(new, ids))
-        self.words.update((w, b) for w, b in zip(new, ids) if len(w) <= LONGEST)
+        known = self.words
+        known.update(zip(new, ids))
         rest = [i for i in range(len(texts)) if i not in plain]
         found, held = self._whole([texts[i] or "" for i in rest], verify) if rest else ([], [])
         out, ok = dict(zip(rest, found)), dict(zip(rest, held))
@@ -229,6 +229,9 @@ class SentencePieceCodec:
             ok[i] = PARITY | ROUND_TRIP
             for w in self.wrong.keys() & set(x) if self.wrong else ():
                 ok[i] &= self.wrong[w]
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
         return [np.frombuffer(out[i], dtype="<u4") for i in range(len(texts))], [ok[i] for i in range(len(texts))]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
