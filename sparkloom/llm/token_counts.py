@@ -23,7 +23,7 @@ LEAF = 32
 #: How far behind its end, and before an edit, a pre-token can look.
 CONTEXT = 2
 WINDOW = 256
-CACHE, LONGEST = 1 << 17, 48
+CACHE, LONGEST = 1 << 18, 48
 _pattern = regex.compile(PATTERN)
 
 
@@ -40,6 +40,13 @@ class PreTokens:
         cuts = [at for _, at in self.bpe.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         return [text[a:b] for a, b in cuts]
 
+    def _count(self, pieces: list[str]) -> dict[str, int]:
+        """Tokens of pre-tokens; the string of an added token counts as plain text."""
+        if self.bpe.fast is not None and not any(map(_RARE.search, pieces)):
+            encode = self.bpe.fast.encode_ordinary
+            return {p: len(encode(p)) for p in pieces}
+        return dict(zip(pieces, map(len, self.bpe.encode(pieces))))
+
     def counts(self, pieces: list[str]) -> list[int]:
         known = self.known
         new = list({p for p in pieces if p not in known})
@@ -47,7 +54,7 @@ class PreTokens:
             if len(known) + len(new) > CACHE:
                 self.known = known = {}
                 new = list(set(pieces))
-            found = dict(zip(new, map(len, self.bpe.encode(new))))
+            found = self._count(new)
             out = [known[p] if p in known else found[p] for p in pieces]
             known.update((p, n) for p, n in found.items() if len(p) <= LONGEST)
             return out
@@ -61,13 +68,17 @@ class TokenTree:
         self._fill(chars, tokens)
 
     def _fill(self, chars: np.ndarray, tokens: np.ndarray) -> None:
-        cuts = range(LEAF, max(len(chars), 1), LEAF)
-        self.leaves = list(zip(np.split(chars.astype(np.int64), cuts), np.split(tokens.astype(np.int64), cuts)))
+        both = np.stack((chars, tokens)).astype(np.int64)
+        cuts = np.arange(0, max(len(chars), 1), LEAF)
+        self.leaves = [(both[0, i : i + LEAF], both[1, i : i + LEAF]) for i in cuts.tolist()]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.sums = np.zeros((2 * self.size, 2), dtype=np.int64)
-        self.sums[self.size : self.size + len(self.leaves)] = [(c.sum(), t.sum()) for c, t in self.leaves]
-        for i in range(self.size - 1, 0, -1):
-            self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
+        if len(chars):
+            self.sums[self.size : self.size + len(cuts)] = np.add.reduceat(both, cuts, axis=1).T
+        at = self.size
+        while at > 1:  # level by level
+            self.sums[at // 2 : at] = self.sums[at : 2 * at : 2] + self.sums[at + 1 : 2 * at : 2]
+            at //= 2
 
     @classmethod
     def of(cls, text: str, pre: PreTokens) -> TokenTree:
