@@ -15,10 +15,9 @@ keeps frequent passages out of the cells; results do not depend on it.
 Copies never meet pair by pair.  Equal sets are one node; in a cell every node is first compared
 with a few leaders only, components follow from those links, and trees are searched only for pairs
 in different components, each in one of the cells they share.  A cell of many components is cut into
-blocks of bounded size.  Before whole sets are read, the shared rarest shingles bound the overlap once
-more: up to the place where the shorter list ends, what two sets share is known exactly.
+blocks of bounded size.
 
-Identity: a set is known by a 64-bit fingerprint and its size, a shingle by a 64-bit hash.
+Identity: a set is known by a 64-bit fingerprint and its size, a shingle and a cell by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -36,7 +35,7 @@ from .scratch import Scratch
 from .wordhash import mix64, shingle_sets, slices
 
 SKETCH_BITS = 18
-GROUPS = 64
+GROUPS, FULL = 64, 255
 BLOCK_ROWS = 512
 LEAF = 16
 #: Leaders of a cell; cells of COVERED nodes or fewer are compared in full by the first two.
@@ -56,21 +55,14 @@ def fingerprint(shingles: np.ndarray) -> int:
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles & _U(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    """Counts by group in a byte each; FULL stands for itself and more."""
+    return np.minimum(np.bincount((shingles & _U(GROUPS - 1)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint8)
 
 
-def rarest_bound(keys_a: np.ndarray, keys_b: np.ndarray, size_a: int, size_b: int, counts: np.ndarray) -> tuple[int, int]:
-    """(upper bound of the overlap, least shared key as a signed number) from two lists of rarest shingles in order."""
-    both = np.intersect1d(keys_a, keys_b, assume_unique=True)
-    if not len(both):
-        return 0, 0
-    place = lambda k: (int(counts[int(k) >> (64 - SKETCH_BITS)]), int(k))
-    end_a, end_b = place(keys_a[-1]), place(keys_b[-1])
-    short, long, end, left = (keys_a, keys_b, end_a, size_b) if end_a <= end_b else (keys_b, keys_a, end_b, size_a)
-    of = counts[(long >> _U(64 - SKETCH_BITS)).astype(np.int64)]
-    within = int(((of < end[0]) | (of == end[0]) & (long <= _U(end[1]))).sum())
-    rest = size_a - len(keys_a) if short is keys_a else size_b - len(keys_b)
-    return len(both) + min(rest, left - within), int(both.view(np.int64).min())
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Summed minima of count vectors, row by row; no bound where a minimum is FULL."""
+    least = np.minimum(a, b)
+    return np.where((least == FULL).any(1), np.iinfo(np.int64).max, least.sum(1, dtype=np.int64))
 
 
 class CountVectorTree:
@@ -78,7 +70,7 @@ class CountVectorTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         # pack by size, then by the heaviest half of the groups
-        self.order = np.lexsort((points[:, : GROUPS // 2].sum(1), sizes)) if len(sizes) else np.zeros(0, np.int64)
+        self.order = np.lexsort((points[:, : GROUPS // 2].sum(1, dtype=np.int64), sizes)) if len(sizes) else np.zeros(0, np.int64)
         self.levels = [(points[self.order], sizes[self.order], sizes[self.order])]
         while len(self.levels[-1][1]) > LEAF:
             top, low, high = self.levels[-1]
@@ -92,8 +84,7 @@ class CountVectorTree:
         for level in range(len(self.levels) - 1, -1, -1):
             top, low, high = self.levels[level]
             at = at[(100 * size >= percent * low[at]) & (100 * high[at] >= percent * size)]
-            bound = np.minimum(top[at], point).sum(1)
-            at = at[bound >= needed(size, np.maximum(low[at], -(-percent * size // 100)), percent)]
+            at = at[overlap_bound(top[at], point[None, :]) >= needed(size, np.maximum(low[at], -(-percent * size // 100)), percent)]
             if level:
                 at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
                 at = at[at < len(self.levels[level - 1][1])]
@@ -175,25 +166,19 @@ def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(build, "node long, shingles binary")
 
 
-def _bounded(pairs: DataFrame, nodes: DataFrame, sketch, percent: int) -> DataFrame:
-    """The pairs (a, b) of count vectors and rarest shingles that allow a link."""
+def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sizes and count vectors that allow a link."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
         for batch in batches:
-            va, vb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int32).reshape(-1, GROUPS) for i in (2, 3))
-            na, nb = va.sum(1), vb.sum(1)
-            least = needed(na, nb, percent)
-            keep = np.minimum(va, vb).sum(1) >= least
-            ka, kb = batch.column(4), batch.column(5)
-            for i in np.flatnonzero(keep):
-                x, y = (k[int(i)].values.to_numpy().view(_U) for k in (ka, kb))
-                keep[i] = rarest_bound(x, y, int(na[i]), int(nb[i]), counts)[0] >= least[i]
-            keep = pa.array(keep)
+            va, vb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, GROUPS) for i in (4, 5))
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            keep = pa.array(overlap_bound(va, vb) >= needed(na, nb, percent))
             yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    side = {s: nodes.select(F.col("node").alias(s), F.col("vector").alias(f"v{s}"), F.col("keys").alias(f"k{s}")) for s in "ab"}
-    return pairs.join(side["b"], "b").join(side["a"], "a").select("a", "b", "va", "vb", "ka", "kb").mapInArrow(check, "a long, b long")
+    side = {s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("vector").alias(f"v{s}")) for s in "ab"}
+    sized = pairs.join(side["b"], "b").join(side["a"], "a").where(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na")
+    return sized.select("a", "b", "na", "nb", "va", "vb").mapInArrow(check, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -233,12 +218,12 @@ def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.RecordBat
         yield pa.concat_batches(held) if len(held) > 1 else held[0]
 
 
-def _across(members: DataFrame, nodes: DataFrame, sketch, percent: int) -> DataFrame:
+def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) within a cell, in different components, that the cell's R-trees leave over.
 
     A cell's largest component needs no look inside: its other members ("guests") search all.
     Group (key, band, block, guests' block) holds about BLOCK_ROWS of either, however large the cell.
-    A pair is taken in the cell of its least shared key only.
+    A pair is taken in the least of the cells that have both only.
     """
     by_comp = members.groupBy("key", "band", "comp").agg(F.count("*").alias("m"))
     cells = (
@@ -253,26 +238,27 @@ def _across(members: DataFrame, nodes: DataFrame, sketch, percent: int) -> DataF
             F.ceil((F.col("m") - F.col("inside")) / BLOCK_ROWS).cast("int").alias("guests"),
         )
     )
-    rows = members.join(cells, ["key", "band"]).join(nodes.select("node", "n", "vector", "keys"), "node")
+    cell = F.xxhash64("key", "band")
+    within = members.groupBy("node").agg(F.collect_set(cell).alias("cells"))
+    rows = members.join(cells, ["key", "band"]).join(nodes.select("node", "n", "vector"), "node").join(within, "node")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    cols = ["node", "n", "comp", (F.col("comp") != F.col("most")).alias("other"), "vector", "keys"]
+    cols = ["node", "n", "comp", (F.col("comp") != F.col("most")).alias("other"), "vector", "cells", cell.alias("cell")]
     tree = rows.select("key", "band", place("blocks").alias("block"), spread("guests").alias("part"), F.lit(False).alias("guest"), *cols)
     guests = rows.where("comp <> most").select("key", "band", spread("blocks").alias("block"), place("guests").alias("part"), F.lit(True).alias("guest"), *cols)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
         for group in _groups(batches, 4):
             guest = group.column(4).to_numpy(zero_copy_only=False)
             ask, inside = np.flatnonzero(guest), np.flatnonzero(~guest)
             if not len(ask) or not len(inside):
                 continue
-            key = group.column(0)[0].as_py()
+            cell = group.column(11)[0].as_py()
             nodes, sizes, comps, other = (group.column(i).to_numpy(zero_copy_only=False) for i in (5, 6, 7, 8))
-            vectors = np.frombuffer(b"".join(group.column(9).to_pylist()), np.int32).reshape(-1, GROUPS)
+            vectors = np.frombuffer(b"".join(group.column(9).to_pylist()), np.uint8).reshape(-1, GROUPS)
             lists = group.column(10)
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(_U)
-            keys = lambda i: flat[offsets[i] : offsets[i + 1]]
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            own = lambda i: flat[offsets[i] : offsets[i + 1]]
             at = CountVectorTree(vectors[inside], sizes[inside])
             a, b = [], []
             for i in ask.tolist():
@@ -280,8 +266,7 @@ def _across(members: DataFrame, nodes: DataFrame, sketch, percent: int) -> DataF
                     # two guests find each other twice
                     if comps[j] == comps[i] or other[j] and nodes[j] > nodes[i]:
                         continue
-                    bound, shared = rarest_bound(keys(i), keys(j), int(sizes[i]), int(sizes[j]), counts)
-                    if bound >= needed(int(sizes[i]), int(sizes[j]), percent) and shared == key:
+                    if np.intersect1d(own(i), own(j), assume_unique=True)[0] == cell:
                         a.append(min(nodes[i], nodes[j]))
                         b.append(max(nodes[i], nodes[j]))
             if a:
@@ -336,8 +321,6 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     few = F.when(F.col("m") > COVERED, F.concat("leaders", F.array("a", "b"))).otherwise(F.array("a", "b"))
     stars = cells.where("m = 2").select("a", "b").unionByName(members.select(F.explode(few).alias("a"), F.col("node").alias("b")))
     stars = stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sizes = {s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}")) for s in "ab"}
-    stars = stars.join(sizes["b"], "b").join(sizes["a"], "a").where(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na").select("a", "b")
 
     def linked(pairs: DataFrame, step: str) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -347,13 +330,14 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
         scratch.drop(f"sets-{step}", f"wanted-{step}")
         return links
 
-    near = scratch.keep(_bounded(scratch.keep(stars, "stars"), nodes, sketch, percent), "near")
+    near = scratch.keep(_bounded(scratch.keep(stars, "stars"), nodes, percent), "near")
     links = linked(near, "star")
     labels = connected_components(links, scratch, "star")
 
     labelled = members.where(F.col("m") > COVERED).join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("comp"))
-    across = scratch.keep(_across(scratch.keep(labelled, "labelled"), nodes, sketch, percent), "pairs").join(near, ["a", "b"], "left_anti")
-    more = linked(scratch.keep(across, "across"), "across")
+    across = scratch.keep(_across(scratch.keep(labelled, "labelled"), nodes, percent), "pairs").join(near, ["a", "b"], "left_anti")
+    across = scratch.keep(across, "across")
+    more = linked(across, "across")
     links = scratch.keep(links.unionByName(more).distinct(), "links")
     labels = connected_components(links, scratch, "all")
 

@@ -73,12 +73,12 @@ def test_near_copies_without_a_common_centre(spark):
 
 def test_tree_finds_all():
     rng = np.random.default_rng(1)
-    points = rng.poisson(3, (500, jaccard_join.GROUPS)).astype(np.int32)
-    points[100:140] = points[7] + rng.poisson(0.02, (40, jaccard_join.GROUPS))
-    sizes = points.sum(1)
+    points = rng.poisson(3, (500, jaccard_join.GROUPS)).astype(np.uint8)
+    points[100:140] = points[7] + rng.poisson(0.02, (40, jaccard_join.GROUPS)).astype(np.uint8)
+    sizes = points.sum(1, dtype=np.int64)
     tree = jaccard_join.CountVectorTree(points, sizes)
     for i in (0, 7, 120, 499):
-        bound = np.minimum(points, points[i]).sum(1)
+        bound = jaccard_join.overlap_bound(points, points[i][None, :])
         fits = (100 * sizes >= 90 * sizes[i]) & (100 * sizes[i] >= 90 * sizes) & (bound >= jaccard_join.needed(sizes, sizes[i], 90))
         assert set(np.flatnonzero(fits)) <= set(tree.search(points[i], int(sizes[i]), 90).tolist())
 
