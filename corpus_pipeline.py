@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloom.llm.columns import free_name
 from sparkloom.llm.jaccard_join import jaccard_components
-from sparkloom.llm.line_dedup import WORDED, dedup_lines
+from sparkloom.llm.line_dedup import LEAST_LINES, WORDED, dedup_lines
 from sparkloom.llm.packing import pack
 from sparkloom.llm.quality_rules import annotate, passes
 from sparkloom.llm.queries import tokenizer_path
@@ -37,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove repeated chunks of lines, and documents of which no word is left."""
-    left = dedup_lines(docs).select(docs.columns)
+    left = dedup_lines(docs, LEAST_LINES).select(docs.columns)
     return _sized(left.where(F.col("text").rlike(WORDED)))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .jaccard_join import jaccard_components
 from .language_id import identify
-from .line_dedup import dedup_lines
+from .line_dedup import LEAST_LINES, dedup_lines
 from .packing import pack
 from .quality_rules import MEASURES, ledger, passes
 from .secret_scan import RULES, base_spans, find_secrets, span_text
@@ -71,7 +71,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), LEAST_LINES)
     return out.select("doc_id", "lines_before", "lines_removed", "chunks_all", "chunks_removed", F.sha2("text", 256).alias("text_sha256"))
 
 

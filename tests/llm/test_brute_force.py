@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 from sparkloom.llm import jaccard_join, line_dedup, regex_trigrams, token_counts, vector_topk
-from sparkloom.llm.queries import op2_token_counts, op6_language_id, op8_substring_dedup, op10_packing, tokenizer_path
+from sparkloom.llm.queries import op2_token_counts, op6_language_id, op7_line_dedup, op8_substring_dedup, op10_packing, tokenizer_path
 from sparkloom.llm.wordhash import shingle_sets, words_of
 
 SF = "/root/testdata/sf0.001"
@@ -107,6 +107,30 @@ def test_line_dedup(spark, texts):
     assert {r.doc_id: r.text for r in got.collect()} == want
 
 
+def test_copies_of_several_lines_go_whole(spark, texts):
+    """Of texts that are equal and have several lines, all but the first lose every word."""
+    short = {10**9 + i: f"first line {i // 2}\nsecond line {i // 2}" for i in range(60)}
+    every = texts | short
+    df = spark.createDataFrame(list(every.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, line_dedup.LEAST_LINES).collect()}
+    first = {}
+    for i in sorted(every):
+        if "\n" in every[i]:
+            first.setdefault(every[i], i)
+    copies = [i for i in every if first.get(every[i], i) != i]
+    assert len(copies) > 30 and not any(re.search(line_dedup.WORDED, got[i]) for i in copies)
+    assert all(got[i] == t for i, t in short.items() if i % 2 == 0)
+
+
+def test_op7_keeps_no_line_of_a_copy(spark, texts):
+    first = {}
+    for i in sorted(texts):
+        first.setdefault(texts[i], i)
+    got = {r.doc_id: r for r in op7_line_dedup(spark, SF).collect()}
+    copies = [i for i, t in texts.items() if first[t] != i and "\n" in t]
+    assert copies and all(got[i].lines_removed == got[i].lines_before for i in copies)
+
+
 def test_no_long_passage_stays_twice(spark, texts):
     """No run of 50 words is left in two documents, and removed text had been elsewhere."""
 
