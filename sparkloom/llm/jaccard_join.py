@@ -37,6 +37,8 @@ from .wordhash import mix64, shingle_sets, slices
 SKETCH_BITS = 18
 GROUPS, FULL = 64, 255
 BLOCK_ROWS = 512
+#: Bits of the largest map of wanted ids.
+MAP_BITS = 22
 LEAF = 16
 #: Leaders of a cell; cells of COVERED nodes or fewer are compared in full by the first two.
 LEADERS, COVERED = 8, 3
@@ -138,12 +140,13 @@ def _signatures(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
 def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, shingles as little-endian uint64) of at least the documents in ``wanted`` (doc_id).
 
-    Up to MAP_IDS ids are sent out as a bit map of hashes, 16 bits an id, and no text is moved; the
-    few others that it lets through do no harm.  More ids than that are joined.
+    Ids are sent out as a bit map of hashes, 16 bits an id, and no text is moved; the few others that
+    it lets through do no harm.  Where the map would have 2**MAP_BITS bits, ids are joined, and of the
+    rows of null doc_id, if one is wanted, all texts are taken.
     """
-    bits = 1 << min(22, max(16, (16 * wanted.count()).bit_length()))
+    bits = 1 << min(MAP_BITS, max(16, (16 * wanted.count()).bit_length()))
     word = F.struct(F.expr("h div 63").alias("at"), F.expr("shiftleft(1L, cast(pmod(h, 63) as int))").alias("bit"))
-    if bits < 1 << 22:
+    if bits < 1 << MAP_BITS:
         hashed = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("h")).select(word.alias("w"))
         rows = hashed.groupBy("w.at").agg(F.bit_or("w.bit").alias("bit")).toArrow()
         table = np.zeros(bits // 63 + 1, dtype=np.int64)
@@ -152,7 +155,10 @@ def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         texts = texts.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("h"))
     else:
         shared = None
-        texts = texts.join(wanted, "doc_id", "left_semi").select("text", F.lit(0).cast("long").alias("h"))
+        without = texts.where("doc_id is null").select("text").distinct()  # null matches nothing in the join
+        named = texts.join(wanted, "doc_id", "left_semi").select("text")
+        texts = named if wanted.where("doc_id is null").isEmpty() else named.unionByName(without)
+        texts = texts.select("text", F.lit(0).cast("long").alias("h"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -68,6 +68,21 @@ def test_jaccard(docs, none):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize("map_bits", [22, 16])
+def test_jaccard_links_through_rows_without_id(spark, monkeypatch, map_bits):
+    """With a map of ids (22) and with a join of ids (16: no map is small enough): results are the same."""
+    monkeypatch.setattr(jaccard_join, "MAP_BITS", map_bits)
+    words = [f"w{i}" for i in range(100)]
+    text = lambda *new: " ".join(f"n{i}" if i in new else w for i, w in enumerate(words))
+    # 1 and 2 are alike enough to the row between them only
+    data = [(1, text()), (None, text(0, 99)), (None, text(0, 99)), (2, text(0, 99, 50)), (3, text(*range(40)))]
+    data += [(None, f"{text()} and more of it"), (None, "alone without an id")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, 3, 93).collect()]
+    key = lambda r: (r[0] or 0, r[1], r[2] or 0)
+    assert sorted(got, key=key) == [(None, 2, None), (None, 98, 1), (None, 98, 1), (None, 102, 1), (1, 98, 1), (2, 98, 1), (3, 98, 3)]
+
+
 def test_secrets(docs, none):
     found = secret_scan.find_secrets(docs, "spans")
     got = by_id(found)
