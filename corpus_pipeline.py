@@ -42,12 +42,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least doc_id of each group; documents without an id stay."""
-    groups = jaccard_components(docs, SHINGLE, SIMILARITY)
-    stay, key = groups.where("component_id = doc_id").select(F.col("doc_id").alias("stays")).distinct(), free_name(docs, "key")
-    keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
-    kept = keyed.join(stay, F.col(key) == F.col("stays"), "left_semi")
-    return kept.unionByName(keyed.where(F.col(key).isNull())).select(docs.columns)
+    """Keep one row of each group, of the least doc_id that is there; rows without a word are no group and stay.
+
+    A row is known by a 64-bit hash of its doc_id and text; of rows that have both in common one stays.
+    """
+    worded, key = F.coalesce(F.col("text").cast("string").rlike(WORDED), F.lit(False)), free_name(docs, "key")
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.where(worded).withColumn(key, F.xxhash64(doc_id, F.col("text").cast("string")))
+    groups = jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), SHINGLE, SIMILARITY).select(F.col("doc_id").alias("row"), "component_id").distinct()
+    rows = keyed.groupBy(F.col(key).alias("row")).agg(F.min(doc_id).alias("doc_id"), F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "n"))
+    stay = Scratch(spark, "near").keep(groups.join(rows, "row").groupBy("component_id").agg(least.alias("first")).select("first.row", "first.n"), "stay")
+    among = lambda some: keyed.join(stay.where(some), F.col(key) == F.col("row"), "left_semi")
+    kept = among("n = 1").unionByName(among("n > 1").dropDuplicates([key]))
+    return kept.select(docs.columns).unionByName(docs.where(~worded))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -202,6 +202,16 @@ def test_vectors(spark):
     assert vector_topk.exact_top_k(df.limit(0), df, 5).count() == 0
 
 
+def test_near_duplicates_keep_one_row_of_a_group(spark, none):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    data = [(2, x), (2, x), (2, y), (3, f"{x} more"), (None, x), (None, x), (4, y), (4, f"{x} more"), (None, z), (None, z), (5, None), (5, None), (None, ""), (6, " ")]
+    df = spark.createDataFrame([(i, t, "en", k) for k, (i, t) in enumerate(data)], "doc_id long, text string, lang string, key int").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    left = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert left == sorted([(2, x), (2, y), (None, z), (5, None), (5, None), (None, ""), (6, " ")], key=str)
+
+
 def test_pipeline_stages(spark, docs, none):
     for table in (docs, none):
         kept = table
