@@ -3,7 +3,8 @@
 A gear hash over the last 32 bytes chooses where chunks end, so an insertion moves boundaries only
 near it and a passage is cut alike wherever it stands.  Chunks are compared by digest over the whole
 corpus.  Of equal chunks the first, by doc_id and position, stays.  Others are removed where a run of
-them is at least ``least_words`` words long, so that phrases which merely recur are left alone.
+them is at least ``least_words`` words long, so that phrases which merely recur are left alone, or is
+the whole text, so that short copies go too.
 """
 
 from __future__ import annotations
@@ -132,7 +133,7 @@ def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFra
 
 
 def _removals(raw: np.ndarray, ends: np.ndarray, repeated: np.ndarray, least_words: int) -> list[tuple[int, int]]:
-    """Byte spans of the runs of repeated chunks that have enough words."""
+    """Byte spans of the runs of repeated chunks that have enough words or are the whole text."""
     repeated = repeated[repeated < len(ends)]
     starts, _ = word_bounds(raw, np.array([0, len(raw)]))
     out = []
@@ -140,6 +141,6 @@ def _removals(raw: np.ndarray, ends: np.ndarray, repeated: np.ndarray, least_wor
         if not len(run):
             continue
         a, b = int(ends[run[0] - 1]) if run[0] else 0, int(ends[run[-1]])
-        if np.searchsorted(starts, b) - np.searchsorted(starts, a) >= least_words:
+        if len(run) == len(ends) or np.searchsorted(starts, b) - np.searchsorted(starts, a) >= least_words:
             out.append((a, b))
     return out

@@ -122,6 +122,13 @@ def test_substrings(spark, docs, none):
     assert by_id(substring_dedup.dedup_substrings(docs))[4].n_repeated > 0
 
 
+def test_short_copies_go_whole(spark):
+    data = [(1, "a short text"), (2, "a short text"), (3, "one"), (4, "one"), (5, "a short text of its own, with a little more"), (6, "你好, a few words, and no more than twelve"), (7, "你好, a few words, and no more than twelve")]
+    got = by_id(substring_dedup.dedup_substrings(spark.createDataFrame(data, "doc_id long, text string").repartition(2)))
+    assert [got[i].text for i in (1, 3, 5, 6)] == [data[i - 1][1] for i in (1, 3, 5, 6)]
+    assert [got[i].text for i in (2, 4, 7)] == ["", "", ""] and [(s.start, s.end) for s in got[7].spans] == [(0, len(data[6][1]))]
+
+
 def test_chunks_resist_shifts():
     text = np.frombuffer(LONG.encode(), np.uint8)
     moved = np.frombuffer(("inserted " + LONG).encode(), np.uint8)
