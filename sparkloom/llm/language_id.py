@@ -12,6 +12,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,18 @@ MOST_LANGUAGES = 64
 RIDGE = 1e-2
 BATCH = 64
 
-_LETTER = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x10000)])
+
+def _letters(start: int, stop: int) -> np.ndarray:
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(start, stop)])
+
+
+_LETTER = _letters(0, 0x10000)
+
+
+@cache
+def _every_letter() -> np.ndarray:
+    """Over all code points; made where a text needs it."""
+    return np.concatenate((_LETTER, _letters(0x10000, 0x110000)))
 
 
 def presence(text: str | None) -> np.ndarray | None:
@@ -36,7 +48,7 @@ def presence(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letter = np.where(codes < 0x10000, _LETTER[np.minimum(codes, 0xFFFF)], codes >= 0x10000)
+    letter = (_LETTER if codes.max() < 0x10000 else _every_letter())[codes]
     if not letter.any():
         return None
     codes = np.where(letter, codes, 32).astype(np.uint32)

@@ -171,6 +171,12 @@ def test_language(docs, none):
     assert language_id.identify(none, none.doc_id > 0).count() == 0
 
 
+def test_astral_letters_are_letters_only(spark):
+    data = [(1, "the words of a text", "en"), (2, "die Worte eines Textes", "de"), (3, "😀 🎉🎉 𝟘 \U0001f1e9 \U0010ffff", None), (4, "𠀀𠀁", None), (5, "😀 the words", None)]
+    got = by_id(language_id.identify(df := spark.createDataFrame(data, "doc_id long, text string, lang string"), df.doc_id < 3))
+    assert (got[3].lang_pred, got[3].score) == ("und", 0) and got[4].lang_pred != "und" and got[5].lang_pred == "en"
+
+
 def test_sentencepiece(docs, none):
     out = sentencepiece_bpe.encode(docs, PIECES)
     got = by_id(out)
