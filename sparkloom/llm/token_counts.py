@@ -3,12 +3,13 @@
 A document keeps a segment tree over its pre-tokens: leaves hold the lengths and token counts of a few
 pre-tokens each, inner nodes the sums.  An edit re-encodes only what it can have changed: scanning
 starts at the last pre-token that cannot see the edit and stops at the first old boundary behind it,
-because what a pre-token is depends on the text from its start to two characters behind its end.  The
+because what a pre-token is depends on the text from its start to a few characters behind its end.  The
 leaves' new counts then go up the tree, so an edit costs its own size and the tree's height.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from .bytebpe import _RARE, PATTERN, ByteBpe, encoder
 from .wordhash import BLOCK, slices
 
 LEAF = 32
-#: How far behind its end, and before an edit, a pre-token can look.
+#: How far behind its end, and before an edit, a pre-token can look; with added tokens as far as the longest.
 CONTEXT = 2
 WINDOW = 256
 CACHE, LONGEST = 1 << 18, 48
@@ -28,23 +29,35 @@ _pattern = regex.compile(PATTERN)
 
 
 class PreTokens:
-    """Pre-tokens and their token counts under one tokenizer file."""
+    """Pre-tokens and their token counts under one tokenizer file.
+
+    The string of an added token is a pre-token of one token, the longest where several start.
+    """
 
     def __init__(self, bpe: ByteBpe):
         self.bpe = bpe
         self.known: dict[str, int] = {}
+        self.added = sorted(filter(None, bpe.added), key=len, reverse=True)
+        self.context = max([CONTEXT, *map(len, self.added[:1])])
+        self._parts = re.compile(f"({'|'.join(map(re.escape, self.added))})") if self.added else None
 
     def split(self, text: str) -> list[str]:
+        if any(a in text for a in self.added):
+            parts = self._parts.split(text)
+            return [p for i, part in enumerate(parts) if part for p in ([part] if i % 2 else self._plain(part))]
+        return self._plain(text)
+
+    def _plain(self, text: str) -> list[str]:
         if self.bpe.fast is not None and not _RARE.search(text):
             return _pattern.findall(text)
         cuts = [at for _, at in self.bpe.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         return [text[a:b] for a, b in cuts]
 
     def _count(self, pieces: list[str]) -> dict[str, int]:
-        """Tokens of pre-tokens; the string of an added token counts as plain text."""
+        """Tokens of pre-tokens."""
         if self.bpe.fast is not None and not any(map(_RARE.search, pieces)):
             encode = self.bpe.fast.encode_ordinary
-            return {p: len(encode(p)) for p in pieces}
+            return {p: len(encode(p)) for p in pieces} | {a: 1 for a in self.added if a in pieces}
         return dict(zip(pieces, map(len, self.bpe.encode(pieces))))
 
     def counts(self, pieces: list[str]) -> list[int]:
@@ -118,10 +131,10 @@ class TokenTree:
             return after, sum(len(c) for c, _ in self.leaves)
         shift = len(new) - (stop - start)
         # the first pre-token that may see the edit
-        leaf, at = self.find(max(start - CONTEXT, 0))
+        leaf, at = self.find(max(start - pre.context, 0))
         chars, tokens = self.leaves[leaf]
         ends = at + np.cumsum(chars)
-        i = int(np.searchsorted(ends, start - CONTEXT, side="right"))
+        i = int(np.searchsorted(ends, start - pre.context, side="right"))
         begin = at if i == 0 else int(ends[i - 1])
         head = chars[:i], tokens[:i]
         # old pre-tokens are taken up leaf by leaf as the scan goes on
@@ -135,7 +148,7 @@ class TokenTree:
             moved = False
             for piece in pre.split(part):
                 end = scan + len(piece)
-                if not last and end + CONTEXT > bound:
+                if not last and end + pre.context > bound:
                     break
                 pieces.append(piece)
                 scan, moved = end, True
@@ -191,8 +204,9 @@ def _pre_tokens(path: str) -> PreTokens:
 def build_trees(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, text, tree (binary), n_tokens of every row of ``docs`` (doc_id integer, text).
 
-    ``tokenizer`` is a ``tokenizers`` file with byte-level BPE, the same path on every machine.  Null
-    texts stay null, and count as empty: no tokens.
+    ``tokenizer`` is a ``tokenizers`` file with byte-level BPE, the same path on every machine.  The
+    string of an added token counts as one token (its flags, such as lstrip, are not read).  Null texts
+    stay null, and count as empty: no tokens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -190,6 +190,30 @@ def test_edits_equal_a_fresh_count():
         assert token_counts.TokenTree.load(tree.dump()).tokens == tree.tokens
 
 
+def test_added_tokens_count_as_one(spark):
+    from tokenizers import Tokenizer
+
+    own, end = Tokenizer.from_file(tokenizer_path()), "<|endoftext|>"
+    count = lambda t: len(own.encode(t, add_special_tokens=False).ids)
+    data = [end, f"a text {end} and on", f"{end}{end} \n {end}你好", "<|endoftext", f"  {end}  x"]
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.build_trees(df, tokenizer_path()).collect()}
+    assert got == {i: count(t) for i, t in enumerate(data)} and got[0] == 1
+    pre = token_counts.PreTokens(token_counts.encoder(tokenizer_path()))
+    rng = np.random.default_rng(4)
+    bits = [end, "<|endof", "text|>", "<|", "|>", " ", "  ", "\n", "word", "é", "你", "9"]
+    make = lambda n: "".join(rng.choice(bits, n))
+    for n in (0, 1, 5, 50, 300) * 30:
+        text = make(n)
+        tree = token_counts.TokenTree.of(text, pre)
+        for _ in range(4):
+            a = int(rng.integers(0, len(text) + 1))
+            b, new = a + int(rng.integers(0, 9)), make(int(rng.integers(0, 4)))
+            want = text[:a] + new + text[b:]
+            text, _ = tree.edit(text, a, b, new, pre)
+            assert text == want and tree.tokens == count(text)
+
+
 def test_trigrams_hold_for_every_match():
     def holds(q, text):
         return q[1] in text if q[0] == "gram" else (all if q[0] == "and" else any)(holds(x, text) for x in q[1:])
