@@ -25,9 +25,7 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
     turn = 0
     while True:
         turn += 1
-        heard = scratch.keep(
-            edges.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label"), f"{name}-heard-{turn}"
-        )
+        heard = edges.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label")
         near = scratch.keep(
             labels.select("node", "label", F.col("label").alias("old"))
             .unionByName(heard.select("node", "label", F.lit(None).cast("long").alias("old")))
@@ -39,7 +37,7 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
         after = scratch.keep(
             near.join(up, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old"), f"{name}-{turn}"
         )
-        scratch.drop(f"{name}-heard-{turn}", f"{name}-near-{turn}", f"{name}-{turn - 1}")
+        scratch.drop(f"{name}-near-{turn}", f"{name}-{turn - 1}")
         labels = after.select("node", "label")
         if after.where("label <> old").isEmpty():
             scratch.drop(f"{name}-edges")

@@ -71,6 +71,24 @@ def test_near_copies_without_a_common_centre(spark):
     assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()} == dict(enumerate(comp))
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90, 97])
+def test_sets_that_link_share_a_cell(percent):
+    """Random sets of all sizes, those with too few parts among them."""
+    rng = np.random.default_rng(percent)
+    new = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    linked = 0
+    for n in (3, 5, 8, 9, 10, 12, 15, 20, 30, 50, 80, 200, 400, 1000) * 40:
+        a = np.unique(new(n))
+        gone = int(rng.integers(0, int(jaccard_join.differences(n, n, percent)) + 3))
+        b = np.unique(np.concatenate((np.delete(a, rng.choice(n, min(gone // 2, n - 1), replace=False)), new(gone - gone // 2))))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= percent * (len(a) + len(b) - both) and not np.array_equal(a, b):
+            keys, of = jaccard_join.cell_keys(*jaccard_join._flat([a, b]), percent)
+            assert set(keys[of == 0].tolist()) & set(keys[of == 1].tolist())
+            linked += 1
+    assert linked > 40
+
+
 def test_tree_finds_all():
     rng = np.random.default_rng(1)
     points = rng.poisson(3, (500, jaccard_join.GROUPS)).astype(np.uint8)

@@ -10,6 +10,7 @@ from sparkloom.llm import (
     line_dedup,
     packing,
     quality_rules,
+    rowfilter,
     secret_scan,
     sentencepiece_bpe,
     substring_dedup,
@@ -68,10 +69,10 @@ def test_jaccard(docs, none):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
-@pytest.mark.parametrize("map_bits", [22, 16])
-def test_jaccard_links_through_rows_without_id(spark, monkeypatch, map_bits):
-    """With a map of ids (22) and with a join of ids (16: no map is small enough): results are the same."""
-    monkeypatch.setattr(jaccard_join, "MAP_BITS", map_bits)
+@pytest.mark.parametrize("bits", [24, 6])
+def test_jaccard_links_through_rows_without_id(spark, monkeypatch, bits):
+    """With a filter that holds back nearly all other rows, and with one that lets all through: results are the same."""
+    monkeypatch.setattr(rowfilter, "BITS", bits)
     words = [f"w{i}" for i in range(100)]
     text = lambda *new: " ".join(f"n{i}" if i in new else w for i, w in enumerate(words))
     # 1 and 2 are alike enough to the row between them only
