@@ -142,8 +142,9 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
 def shingle_sets(col: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The lower-cased shingle set of each text."""
     words, first = words_of(col, lower=True)
-    for a, b in zip(first[:-1], first[1:]):
-        yield shingles(words[a:b], k)
+    runs = windows(words, k)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        yield np.unique(runs[a : b - k + 1]) if b - a >= k else shingles(words[a:b], k)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 * BLOCK) -> Iterator[pa.RecordBatch]:
