@@ -243,8 +243,9 @@ def test_trigrams_hold_for_every_match():
 
 def test_bounds_enclose_scores():
     rng = np.random.default_rng(4)
-    block = vector_topk.ApproximationFile(np.arange(200), rng.normal(0, 20, (200, 8)).round())
+    vectors = rng.normal(0, 20, (200, 8)).round()
+    grid = vector_topk.Grid(vectors.min(0), vectors.max(0))
     queries = rng.normal(0, 20, (9, 8)).round()
-    low, high = block.bounds(queries)
-    exact = queries @ block.vectors.T
+    low, high = grid.bounds(grid.cells(vectors), queries)
+    exact = queries @ vectors.T
     assert (low <= exact).all() and (exact <= high).all()

@@ -213,7 +213,22 @@ def test_vectors(spark):
         scores = data @ data[q]
         want = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:20]
         assert [(k + 1, i, -s) for k, (s, i) in enumerate(want)] == sorted(got[q])
-    assert vector_topk.exact_top_k(df.limit(0), df, 5).count() == 0
+    assert vector_topk.exact_top_k(df.limit(0), df, 5).count() == 0 and vector_topk.exact_top_k(df, df.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("queries,least", [(8192, 4096), (4, 16)])
+def test_vectors_of_repeated_rows(spark, monkeypatch, queries, least):
+    """Each row is a query of its own, and only its own row is left out; with one tile and with many."""
+    monkeypatch.setattr(vector_topk, "QUERIES", queries)
+    monkeypatch.setattr(vector_topk, "LEAST_PART", least)
+    data = [(0, [1.0, 2.0]), (0, [3.0, 0.0]), (0, [3.0, 0.0]), (1, [2.0, 2.0]), (2, [2.0, 2.0]), (20, [-1.0, 5.0])] + [(30 + i % 3, [float(i % 5), float(i % 7)]) for i in range(60)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    want = []
+    for q in [i for i, (v, _) in enumerate(data) if v % 20 == 0]:
+        scores = sorted((-int(np.dot(data[q][1], x)), v) for i, (v, x) in enumerate(data) if i != q)[:3]
+        want += [(data[q][0], r + 1, v, -s) for r, (s, v) in enumerate(scores)]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in vector_topk.exact_top_k(df, df.where("vec_id % 20 = 0"), 3).collect()]
+    assert sorted(got) == sorted(want)
 
 
 def test_near_duplicates_keep_one_row_of_a_group(spark, none):
