@@ -22,10 +22,11 @@ from .wordhash import BLOCK, slices
 
 DIMENSIONS = 1 << 15
 ORDERS = (1, 2, 3)
-#: Bounds of what is fitted on: texts per language, and languages (the most frequent ones).
-PER_LANGUAGE = 400
-LANDMARKS = 64
-MOST_LANGUAGES = 64
+#: Bounds of what is fitted on: texts per language and in all, landmarks per language and in all.
+PER_LANGUAGE, SAMPLE = 400, 4096
+LANDMARKS, MARKS = 64, 1024
+#: The rows of a language are ranked in so many shares before they meet.
+SHARES = 64
 RIDGE = 1e-2
 BATCH = 64
 
@@ -77,14 +78,15 @@ class Model:
 
 
 def fit(flags: np.ndarray, languages: list[str], landmarks: int = LANDMARKS) -> Model:
-    """Nystroem kernel ridge regression; the first ``landmarks`` texts of each language are landmarks."""
-    names = sorted(set(languages))
-    labels = np.array([names.index(x) for x in languages])
-    x = flags.astype(np.float64)
+    """Nystroem kernel ridge regression; the first texts of each language, up to ``landmarks``, are landmarks."""
+    names, labels = np.unique(np.array(languages, dtype=object), return_inverse=True)
+    names = names.tolist()
+    x = flags.astype(np.float32)
     x /= np.sqrt(x.sum(1, keepdims=True))
-    marks = x[np.concatenate([np.flatnonzero(labels == i)[:landmarks] for i in range(len(names))])]
-    values, vectors = np.linalg.eigh(marks @ marks.T)
-    good = values > 1e-8 * values[-1]
+    each = max(1, min(landmarks, MARKS // len(names)))
+    marks = x[np.concatenate([np.flatnonzero(labels == i)[:each] for i in range(len(names))])[:MARKS]]
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])
     features = (x @ marks.T) @ root
     targets = np.where(labels[:, None] == np.arange(len(names)), 1.0, -1.0)
@@ -101,25 +103,27 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
 
 
 def train(labelled: DataFrame) -> Model | None:
-    """Fit on (doc_id, text, lang): the PER_LANGUAGE rows of least hashed doc_id of each language.
+    """Fit on (doc_id, text, lang): the PER_LANGUAGE rows of least hash of each language, SAMPLE in all.
 
-    The sample's bounds are the module's parameters; it does not grow with the table.  Rows of null
-    lang are left out.  None if no row has a letter.
+    The sample's bounds are the module's parameters; it does not grow with the table.  Every language
+    gets its first row before any gets a second, so all are learned, however many there are, up to
+    SAMPLE.  Rows of null lang are left out, and rows that repeat both doc_id and text count once.
+    None if no row has a letter.
     """
-    known = labelled.where("lang is not null and doc_id is not null")
-    most = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.where(F.col("lang").isin(most)).select("lang", "doc_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LANGUAGE)
-    ids = chosen.select("doc_id").distinct()
+    known = labelled.where("lang is not null").withColumn("row", F.xxhash64("doc_id", "text"))
+    found = known.select("lang", "row", F.pmod("row", F.lit(SHARES)).alias("share")).distinct()
+    for by in (["lang", "share"], ["lang"]):
+        found = found.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("row"))).where(F.col("r") <= PER_LANGUAGE)
+    chosen = found.orderBy("r", "lang").limit(SAMPLE).select("lang", "row")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in _batches(batches):
             bits = [None if f is None else np.packbits(f).tobytes() for f in found]
-            yield pa.record_batch([part.column(0), part.column(2), pa.array(bits, pa.binary())], ["doc_id", "lang", "bits"])
+            yield pa.record_batch([part.column(0), part.column(2), pa.array(bits, pa.binary())], ["row", "lang", "bits"])
 
-    rows = known.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang").mapInArrow(look, "doc_id long, lang string, bits binary").where("bits is not null")
-    rows = sorted(rows.limit(PER_LANGUAGE * MOST_LANGUAGES).collect(), key=lambda r: (r.lang, r.doc_id))
-    rows = [r for r in rows if r.lang in set(most)]
+    # the sample's size is bounded by SAMPLE
+    rows = known.join(F.broadcast(chosen), ["lang", "row"]).select("row", "text", "lang").mapInArrow(look, "row long, lang string, bits binary").where("bits is not null")
+    rows = sorted(rows.dropDuplicates(["lang", "row"]).collect(), key=lambda r: (r.lang, r.row))
     if not rows:
         return None
     return fit(np.stack([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in rows]).astype(bool), [r.lang for r in rows])
@@ -130,8 +134,9 @@ def identify(docs: DataFrame, training: Column) -> DataFrame:
 
     Needs doc_id (integer), text and lang.  Returns doc_id, lang_pred (a learned language; ``und`` where
     the text is null or has no letter, or nothing could be learned) and score (0 to 1, the winner's
-    share; 0 for ``und``).  Predictions read the text alone, so equal texts get equal answers; ties go
-    to the first language by name.
+    share; 0 for ``und``), one row per row: repeated rows and rows of null doc_id get answers like all
+    others.  Predictions read the whole text alone, so equal texts get equal answers; ties go to the
+    first language by name.  Other columns are not read.  An empty table gives an empty table.
     """
     labelled = docs.where(training).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = train(labelled)
