@@ -5,7 +5,8 @@ or removed lines move boundaries only next to them.  With a least size a boundar
 its chunk has that many lines, and what is left at the end joins the chunk before it, so that every
 line of a longer text lies in a chunk that can be removed.  Chunks of several lines that occur more than
 once in the corpus are removed everywhere but at their first place, by doc_id and then position.
-Chunks are grouped by digest and by their bytes; a digest that different bytes share removes nothing.
+Chunks are grouped by digest and by their bytes; where different bytes share a digest, they are told
+apart by the bytes themselves.
 
 DataFrame functions only: no Python runs on the executors.
 """
@@ -52,6 +53,10 @@ def _chunks(df: DataFrame, lines: str, into: str, scrap: str, least: int) -> Dat
     return df.withColumn(scrap, hashes).withColumn(into, at).withColumn(into, spans(F.col(into))).drop(scrap)
 
 
+def _digest(chunk: Column) -> Column:
+    return F.unhex(F.md5(chunk))
+
+
 def _text(lines: Column, chunk: Column) -> Column:
     return F.array_join(F.slice(lines, chunk["first"] + 1, chunk["n"]), "\n")
 
@@ -64,7 +69,8 @@ def dedup_lines(docs: DataFrame, least: int = 1) -> DataFrame:
     where a column has it).  A line ends at a line feed; removed chunks go with their line feed.
     Null texts stay null and empty ones empty.  Rows of null doc_id keep all their chunks and make
     no others repeated.  Rows that repeat a doc_id and a position count as one place.  Chunks of one
-    line, and chunks without a word, are never removed.  ``least`` is the least number of lines of a
+    line, and chunks without a word, are never removed.  Texts are cut whole, however long; an empty
+    table gives an empty table.  ``least`` is the least number of lines of a
     chunk: with 1 every boundary counts and a line between two of them stays; with LEAST_LINES, as in
     the queries, an exact copy of a text of several lines loses all its words.
     """
@@ -74,12 +80,19 @@ def dedup_lines(docs: DataFrame, least: int = 1) -> DataFrame:
     # outer: a filter inferred from an inner one would have the chunks worked out once more for every line
     found = _chunks(plain, "lines", "chunks", "hashes", least).select("doc_id", "lines", F.posexplode_outer("chunks").alias("pos", "chunk")).where(F.col("chunk.n") >= LEAST_LINES)
     found = found.select("doc_id", "pos", _text(F.col("lines"), F.col("chunk")).alias("bytes")).where(F.col("bytes").rlike(WORDED))
-    found = found.select("doc_id", "pos", "bytes", F.unhex(F.md5("bytes")).alias("digest"))
+    found = found.select("doc_id", "pos", "bytes", _digest(F.col("bytes")).alias("digest"))
 
     by_bytes = found.groupBy("digest", "bytes").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
-    repeated = by_bytes.groupBy("digest").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("first").alias("first")).where("n > 1 and texts = 1")
-    repeated = scratch.keep(repeated.select("digest", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")), "repeated")
-    again = found.select("doc_id", "pos", "digest").join(repeated, "digest").where("doc_id <> first_doc or pos <> first_pos")
+    repeated = by_bytes.groupBy("digest").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("first").alias("first")).where("n > 1")
+    place = [F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")]
+    repeated = scratch.keep(repeated.select("digest", "texts", *place), "repeated")
+    again = found.select("doc_id", "pos", "digest").join(repeated.where("texts = 1"), "digest")
+    mixed = repeated.where("texts > 1").select("digest")
+    if not mixed.isEmpty():  # bytes that share a digest with others go by the bytes
+        own = by_bytes.where("n > 1").join(mixed, "digest", "left_semi").select("digest", "bytes", *place)
+        apart = found.join(mixed, "digest", "left_semi").join(own, ["digest", "bytes"])
+        again = again.select("doc_id", "pos", "first_doc", "first_pos").unionByName(apart.select("doc_id", "pos", "first_doc", "first_pos"))
+    again = again.where("doc_id <> first_doc or pos <> first_pos")
 
     names = {n: free_name(docs, n) for n in ("lines_before", "lines_removed", "chunks_all", "chunks_removed", "line_list", "chunk_list", "chunk_hash", "chunk_key", "chunk_drop")}
     drops = again.groupBy(F.col("doc_id").alias(names["chunk_key"])).agg(F.collect_set("pos").alias(names["chunk_drop"]))
