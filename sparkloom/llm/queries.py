@@ -67,7 +67,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(_table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return out.select("doc_id", "n_chunks", "n_repeated", removed.alias("removed_chars"), spans.alias("removed_spans"), "text")
+    return out.select("doc_id", "n_chunks", "n_repeated", "n_recurring", removed.alias("removed_chars"), spans.alias("removed_spans"), "text")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,10 +97,10 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends
 
 
-def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """64-bit hash of raw[start:end] for ascending spans, in blocks."""
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, values: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of raw[start:end] for ascending spans, in blocks; other ``values`` of bytes give another hash."""
     out = np.empty(len(starts), dtype=_U)
-    values, i = _VALUES[lower], 0
+    values, i = _VALUES[lower] if values is None else values, 0
     while i < len(starts):
         lo = int(starts[i])
         j = max(int(np.searchsorted(ends, lo + BLOCK, side="right")), i + 1)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from sparkloom.llm import jaccard_join, line_dedup, regex_trigrams, token_counts, vector_topk
+from sparkloom.llm import jaccard_join, line_dedup, regex_trigrams, substring_dedup, token_counts, vector_topk
 from sparkloom.llm.queries import op2_token_counts, op6_language_id, op7_line_dedup, op8_substring_dedup, op10_packing, tokenizer_path
 from sparkloom.llm.wordhash import shingle_sets, words_of
 
@@ -163,6 +163,52 @@ def test_no_long_passage_stays_twice(spark, texts):
     assert sum(r.removed_chars == 0 for r in got.values()) > len(got) / 2
 
 
+def test_substring_dedup_by_bytes(spark, texts):
+    """All columns, against chunks compared as bytes one by one; repeated ids and a null id among the rows."""
+    rows = [*texts.items(), *[(i, texts[i]) for i in sorted(texts)[:5]], (None, texts[min(texts)]), (10**9, "a b"), (10**9 + 1, "a b")]
+    chunks = {}
+    for i, t in rows:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        ends = substring_dedup.chunk_ends(raw).tolist()
+        chunks[i, t] = [(a, b, raw[a:b].tobytes()) for a, b in zip([0, *ends], ends)]
+    first = {}
+    for (i, _), parts in chunks.items():
+        for pos, (_, _, data) in enumerate(parts):
+            if i is not None:
+                first[data] = min(first.get(data, (i, pos)), (i, pos))
+    want = []
+    for i, t in rows:
+        parts, raw = chunks[i, t], t.encode()
+        again = [i is not None and first[data] != (i, pos) for pos, (_, _, data) in enumerate(parts)]
+        kept, spans, removed, at = b"", [], 0, 0
+        while at < len(parts):
+            stop = at
+            while stop < len(parts) and again[stop] == again[at]:
+                stop += 1
+            a, b = parts[at][0], parts[stop - 1][1]
+            words = sum(1 for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw) if a <= m.start() < b)
+            if again[at] and (words >= substring_dedup.LEAST_WORDS or stop - at == len(parts)):
+                spans.append((len(raw[:a].decode()), len(raw[:b].decode())))
+                removed += stop - at
+            else:
+                kept += raw[a:b]
+            at = stop
+        want.append((i, kept.decode(), len(parts), removed, sum(again), spans))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text, r.n_chunks, r.n_repeated, r.n_recurring, [(s.start, s.end) for s in r.spans]) for r in substring_dedup.dedup_substrings(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_chunks_of_one_digest_are_told_apart(spark, texts, monkeypatch):
+    from pyspark.sql import functions as F
+
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    counts = lambda d: sorted((r.doc_id, r.text, r.lines_removed, r.chunks_removed) for r in d.select("doc_id", "text", "lines_removed", "chunks_removed").collect())
+    want = counts(line_dedup.dedup_lines(df, line_dedup.LEAST_LINES))
+    monkeypatch.setattr(line_dedup, "_digest", lambda c: F.pmod(F.length(c), F.lit(7)).cast("string").cast("binary"))
+    assert counts(line_dedup.dedup_lines(df, line_dedup.LEAST_LINES)) == want and any(x[2] for x in want)
+
+
 def test_language_is_right_on_held_out_texts(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     held = [r for r in op6_language_id(spark, SF).collect() if r.held_out]
