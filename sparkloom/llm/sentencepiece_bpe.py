@@ -28,7 +28,7 @@ THREADS = 2
 CACHE, LONGEST = 1 << 19, 48
 #: What is checked of an encoding.
 PARITY, ROUND_TRIP = 1, 2
-TOGETHER = 2000
+TOGETHER = 500
 #: Fixed by the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
@@ -176,35 +176,40 @@ class SentencePieceCodec:
         self.words: dict[str, bytes] = {}
         self.wrong: dict[str, int] = {}
 
-    def _whole(self, texts: list[str], verify: bool) -> tuple[list[bytes], list[int]]:
-        """(ids, checks): PARITY with SentencePiece and ROUND_TRIP; where parity fails the ids are SentencePiece's."""
-        ids = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The rebuilt tokenizer's ids, by its own threads."""
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _checks(self, texts: list[str], ids: list[np.ndarray], verify: bool) -> list[int]:
+        """PARITY with SentencePiece and ROUND_TRIP of each text."""
         if not verify:
-            return [x.tobytes() for x in ids], [PARITY | ROUND_TRIP] * len(ids)
-        theirs = [np.array(x, dtype="<u4") for x in self.own.encode(texts, out_type=int, num_threads=THREADS)]
-        back = self.decode(theirs)
-        checks = [PARITY * np.array_equal(a, b) | ROUND_TRIP * (t == x) for a, b, t, x in zip(ids, theirs, texts, back)]
-        return [x.tobytes() for x in theirs], checks
+            return [PARITY | ROUND_TRIP] * len(texts)
+        theirs = self.own.encode(texts, out_type=int, num_threads=THREADS)
+        back = self.decode(ids)
+        return [PARITY * np.array_equal(a, np.array(b, dtype="<u4")) | ROUND_TRIP * (t == x) for a, b, t, x in zip(ids, theirs, texts, back)]
+
+    def _whole(self, texts: list[str], verify: bool) -> tuple[list[bytes], list[int]]:
+        """(ids, checks) of whole texts."""
+        ids = self._ids(texts)
+        return [x.tobytes() for x in ids], self._checks(texts, ids, verify)
 
     def _by_word(self, words: list[str], verify: bool) -> tuple[list[bytes], list[int]]:
-        """``_whole`` of words, many in one text: a word's ids start at each piece that starts with a marker."""
+        """``_whole`` of words, many in one text of a batch: a word's ids start at each piece that starts with a marker."""
+        parts = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        texts = [" ".join(part) for part in parts]
+        found = self._ids(texts)
+        held = self._checks(texts, found, verify)
         ids: list[bytes] = []
         checks: list[int] = []
-        for i in range(0, len(words), TOGETHER):
-            part = words[i : i + TOGETHER]
-            text = " ".join(part)
-            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-            first = np.flatnonzero(self.starts[found])
-            good = len(first) == len(part)
-            if good and verify:
-                good = np.array_equal(found, self.own.encode(text, out_type=int)) and self.decode([found]) == [text]
-            if not good:
+        for part, x, ok in zip(parts, found, held):
+            first = np.flatnonzero(self.starts[x])
+            if len(first) != len(part) or ok != PARITY | ROUND_TRIP:
                 a, b = self._whole(part, verify)
                 ids, checks = ids + a, checks + b
                 continue
-            raw, at = found.tobytes(), [*(4 * first).tolist(), 4 * len(found)]
+            raw, at = x.tobytes(), [*(4 * first).tolist(), 4 * len(x)]
             ids += [raw[a:b] for a, b in zip(at, at[1:])]
-            checks += [PARITY | ROUND_TRIP] * len(part)
+            checks += [ok] * len(part)
         return ids, checks
 
     def _plain(self, text: str) -> bool:
@@ -252,10 +257,10 @@ def encode(docs: DataFrame, model: str, verify: bool = True) -> DataFrame:
     """doc_id, ids (binary, little-endian uint32), n_tokens, parity, round_trip of every row of ``docs``.
 
     Needs doc_id (integer) and text; other columns are not read.  ``model`` is the same path on every
-    machine.  Null and empty texts have no ids.  parity is whether SentencePiece itself gives these
-    ids, round_trip whether they decode to the text (both null with verify=False).  Without parity
-    the ids are SentencePiece's own, so the result is right in any case and parity shows where the
-    rebuilt model was not.
+    machine.  Null and empty texts have no ids.  The ids are the rebuilt tokenizer's; parity is whether
+    SentencePiece itself gives the same, round_trip whether they decode to the text (both null with
+    verify=False).  Whole texts are encoded, however long.  Rows are encoded one by one, so repeated rows
+    and rows of null doc_id get ids like all others.  An empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +278,11 @@ def encode(docs: DataFrame, model: str, verify: bool = True) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id and text of every row of (doc_id, ids); null ids decode to an empty text."""
+    """doc_id and text of every row of (doc_id, ids); other columns are not read.
+
+    Null and empty ids decode to an empty text.  Repeated rows and rows of null doc_id are decoded like
+    all others, ids of any length whole.  An empty table gives an empty table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)

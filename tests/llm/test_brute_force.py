@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from sparkloom.llm import jaccard_join, line_dedup, regex_trigrams, substring_dedup, token_counts, vector_topk
+from sparkloom.llm import jaccard_join, line_dedup, regex_trigrams, sentencepiece_bpe, substring_dedup, token_counts, vector_topk
 from sparkloom.llm.queries import op2_token_counts, op6_language_id, op7_line_dedup, op8_substring_dedup, op10_packing, tokenizer_path
 from sparkloom.llm.wordhash import shingle_sets, words_of
 
@@ -229,12 +229,55 @@ def test_packed_ids(spark, texts):
     assert covered == Counter({i: len(x) for i, x in ids.items()})
 
 
+def test_pieces_are_those_of_sentencepiece(spark, texts):
+    """Whole texts of the table, and made-up ones, encoded text by text by the library itself."""
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = np.random.default_rng(8)
+    bits = ["a", "the", " ", "  ", "\n", "\t", "\u2581", "\u00a0", "\u0085", "é", "e\u0301", "你好", "😀", "\u200d", "9", "<s>", "<unk>", "<0x41>", "Zürich", ".", "'s", "\x00", "\ufeff"]
+    made = {10**9 + i: "".join(rng.choice(bits, int(rng.integers(0, 40)))) for i in range(1500)}
+    every = texts | made
+    df = spark.createDataFrame([*every.items(), *list(made.items())[:3], (None, "no id")], "doc_id long, text string").repartition(3)
+    got = sentencepiece_bpe.encode(df, path).collect()
+    assert len(got) == len(every) + 4
+    for r in got:
+        if r.doc_id is not None:
+            want = own.encode(every[r.doc_id], out_type=int)
+            assert (np.frombuffer(r.ids, "<u4").tolist() == want) == r.parity and r.n_tokens == len(r.ids) // 4
+            assert r.parity or r.doc_id in made
+    assert sum(not r.parity for r in got) < 0.02 * len(made)
+    back = {r.doc_id: r.text for r in sentencepiece_bpe.decode(sentencepiece_bpe.encode(df, path), path).collect()}
+    assert all((back[r.doc_id] == every[r.doc_id]) == r.round_trip for r in got if r.doc_id is not None)
+    assert all(r.round_trip for r in got if r.doc_id in texts)
+
+
 def test_edited_counts(spark, texts):
+    """All columns of the query on the table, and texts that each letter up to U+024F is in: counts by tokenizers itself."""
+    from zlib import crc32
+
+    from pyspark.sql import functions as F
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(tokenizer_path())
-    got = op2_token_counts(spark, SF).collect()
-    assert all(r.n_tokens == len(own.encode(texts[r.doc_id], add_special_tokens=False).ids) for r in got)
+    count = lambda t: len(own.encode(t, add_special_tokens=False).ids)
+    got = {r.doc_id: r for r in op2_token_counts(spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    at = docs.select("doc_id", *[F.pmod(F.xxhash64("doc_id", F.lit(i)), F.length("text") + 1).cast("int").alias(f"p{i}") for i in (1, 2, 3)]).collect()
+    for r in at:
+        text = texts[r.doc_id]
+        assert got[r.doc_id].n_tokens == count(text)
+        for start, gone, new in ((r.p1, 0, " as revised,"), (r.p2, 40, ""), (r.p3, 12, "2026\n")):
+            text = text[:start] + new + text[start + gone :]
+        x = got[r.doc_id]
+        assert x.n_tokens_edited == count(text) and x.text_crc32 == crc32(text.encode()) and 0 <= x.n_encoded
+    assert sum(x.n_encoded for x in got.values()) < sum(x.n_tokens for x in got.values()) / 5
+    rng = np.random.default_rng(6)
+    letters = [chr(c) for c in range(1, 0x250)]
+    made = ["".join(rng.choice(letters, 60)) for _ in range(400)] + [f"a{c}b {c}{c} 1{c}" for c in letters]
+    ids = token_counts.encoder(tokenizer_path()).encode(made)
+    assert [x.tolist() for x in ids] == [own.encode(t, add_special_tokens=False).ids for t in made]
 
 
 def test_edits_equal_a_fresh_count():
