@@ -251,3 +251,41 @@ def test_pipeline_stages(spark, docs, none):
         packed = corpus_pipeline.STAGES[-1][1](spark, kept, "").collect()
         assert sum(r.length for r in packed) == sum({(r.doc_id): r.doc_tokens for r in packed}.values())
     assert packed == []
+
+
+def _identified(df):
+    return language_id.identify(df, df.doc_id != 5)
+
+
+def _edited(df):
+    from pyspark.sql import functions as F
+
+    one = F.expr("array(named_struct('start', 3, 'stop', 9, 'replacement', 'new words '))")
+    return token_counts.apply_edits(token_counts.build_trees(df, BPE).withColumn("edits", one), BPE)
+
+
+ROWWISE = {
+    "op1": lambda df: sentencepiece_bpe.encode(df, PIECES),
+    "op2": _edited,
+    "op3": lambda df: secret_scan.find_secrets(df, "spans"),
+    "op4": jaccard_join.jaccard_components,
+    "op6": _identified,
+    "op7": lambda df: line_dedup.dedup_lines(df, line_dedup.LEAST_LINES),
+    "op8": substring_dedup.dedup_substrings,
+    "op9": quality_rules.ledger,
+    "quality": lambda df: corpus_pipeline.quality(df.sparkSession, df, ""),
+    "lines": lambda df: corpus_pipeline.lines(df.sparkSession, df, ""),
+    "secrets": lambda df: corpus_pipeline.secrets(df.sparkSession, df, ""),
+}
+
+
+@pytest.mark.parametrize("name", ROWWISE)
+def test_repeated_rows_get_the_same_answer(docs, name):
+    """Every row twice: each answer comes twice."""
+    once = [str(r) for r in ROWWISE[name](docs).collect()]
+    assert sorted(str(r) for r in ROWWISE[name](docs.unionByName(docs)).collect()) == sorted(once * 2)
+
+
+def test_repeated_rows_are_packed_each(docs):
+    tokens = lambda df: sum(r.length for r in packing.pack(df, BPE).collect())
+    assert tokens(docs.unionByName(docs)) == 2 * tokens(docs)
