@@ -7,7 +7,6 @@ import csv
 import io
 import json
 import sys
-import tempfile
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,7 @@ from .model import load_models
 from .plans.bind import bind
 from .plans.refs import is_read_only
 from .runner import Runner
+from .shared import own_folder
 from .sources.state import State
 
 MAINTENANCE = ("merge", "expire", "cleanup", "checkpoint")
@@ -81,7 +81,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             results = Runner(spark, lake, State(project.state_path), project.variables, decide.config_hash(project.folder)).run_all(models)
             show([asdict(r) for r in results], [w for r in results for w in r.warnings])
         else:
-            fork, results = sandbox.preview(spark, lake, f"file://{tempfile.mkdtemp(prefix='sandbox-')}", models)
+            fork, results = sandbox.preview(spark, lake, own_folder(spark, "sandbox"), models)
             show([asdict(sandbox.diff(lake, fork, n)) for n in sandbox.changed_tables(lake, fork)], [w for r in results for w in r.warnings])
         return int(any(r.error for r in results))
     if args.command == "validate":

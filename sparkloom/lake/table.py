@@ -8,6 +8,7 @@ only carried over keep theirs.
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -97,8 +98,6 @@ class Lake:
     def stage(self, df: DataFrame, name: str, snapshot: int, partitioned_by: list[str] = (), sorted_by: list[str] = ()) -> list[str]:
         """Write rows to files that nothing refers to yet.  Rows without a row id get one."""
         if ROWID in df.columns:
-            fresh = df.where(F.col(ROWID).isNull())
-            df = df.where(F.col(ROWID).isNotNull()).unionByName(fresh.withColumn(ROWID, F.lit(None).cast("long")))
             df = df.withColumn(ROWID, F.coalesce(ROWID, new_rowids(snapshot)))
         else:
             df = df.withColumn(ROWID, new_rowids(snapshot))
@@ -136,11 +135,15 @@ class Lake:
         same = F.lit(True)
         for i, n in enumerate(names):
             same = same & F.col(n).eqNullSafe(F.col(f"s{i}"))
-        found = {_plain(r.file) for r in rows.join(wanted, same, "left_semi").select("file").distinct().collect()}
-        return [f for f in entry["files"] if _plain(f) in found]
+        found = {_plain(unquote(r.file)) for r in rows.join(wanted, same, "left_semi").select("file").distinct().collect()}
+        files = [f for f in entry["files"] if _plain(f) in found]
+        if len(files) != len(found):
+            raise RuntimeError(f"{name}: rows come from files that its snapshot does not list: {sorted(found)[:3]}")
+        return files
 
 
 def _plain(path: str) -> str:
+    """A listed path, as Hadoop writes it; files that a query names are URL-encoded and come decoded."""
     return path.replace("file:///", "file:/")
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import types
 from ..functions.statistics import entropy_frame
+from ..shared import written
+from .joins import interval_overlaps
 
 STAGES = ("constraint", "audit", "warning")
 #: Fixed value: what counts as an e-mail address.
@@ -330,10 +332,11 @@ def gaps(df: DataFrame, col: str, step: float) -> DataFrame:
     """Rows of (value, before) where the next smaller value is more than ``step`` away.
 
     The order is total, but no task sorts it all: values are ranged over partitions, compared within
-    each, and the first value of each partition is compared with the largest one before it.
+    each, and the first value of each partition is compared with the largest one before it.  The ranges
+    are written, so all uses see the same ones.
     """
     values = df.select(_col(df, col).alias("v")).where("v is not null").distinct()
-    ranged = values.repartitionByRange(F.col("v")).withColumn("p", F.spark_partition_id())
+    ranged = written(values.repartitionByRange(F.col("v")).withColumn("p", F.spark_partition_id()), "gaps")
     ranged = ranged.withColumn("before", F.lag("v").over(Window.partitionBy("p").orderBy("v")))
     edges = ranged.groupBy("p").agg(F.min("v").alias("v"), F.max("v").alias("last"))
     edges = edges.withColumn("before", F.lag("last").over(Window.orderBy("v"))).select("v", "before")
@@ -355,13 +358,7 @@ def _sequential_step(df, ctx, col, step):
 def _no_overlap(df, ctx, start, end):
     """Intervals that begin before an earlier one has ended; equal starts do not count."""
     s = df.groupBy(_col(df, start).alias("s")).agg(F.max(_col(df, end)).alias("e")).where("s is not null")
-    ranged = s.repartitionByRange("s").withColumn("p", F.spark_partition_id())
-    before = Window.partitionBy("p").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranged = ranged.withColumn("within", F.max("e").over(before))
-    edges = ranged.groupBy("p").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    edges = edges.select("p", F.max("e").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    seen = ranged.join(F.broadcast(edges), "p").select("s", F.greatest("within", "carried").alias("until"))
-    return _one(seen.where("until > s"), F.count(F.lit(1)))
+    return _one(interval_overlaps(s, "s", "e"), F.count(F.lit(1)))
 
 
 # --- audits ---------------------------------------------------------------------------------

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..shared import written
+
 
 def as_of_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str]) -> DataFrame:
     """Each left row with the right row of equal ``by`` and the greatest time not after its own.
@@ -27,9 +29,18 @@ def as_of_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
 
 
 def interval_overlaps(df: DataFrame, start: str, end: str) -> DataFrame:
-    """Rows whose interval begins before an earlier one has ended, by a running maximum."""
-    w = Window.orderBy(start).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("__until", F.max(end).over(w)).where(F.col("__until") > F.col(start)).drop("__until")
+    """Rows whose interval begins before an earlier one has ended, by a running maximum.
+
+    Rows are ranged by their start over partitions (written once, so all uses see the same ranges); a
+    task runs over one range, and the largest end of all ranges before it is carried in.  What is
+    broadcast is a row for each partition.
+    """
+    ranged = written(df.where(F.col(start).isNotNull()).repartitionByRange(start).withColumn("__p", F.spark_partition_id()), "overlaps")
+    within = F.max(end).over(Window.partitionBy("__p").orderBy(start).rowsBetween(Window.unboundedPreceding, -1))
+    edges = ranged.groupBy("__p").agg(F.min(start).alias("__first"), F.max(end).alias("__last"))
+    carried = F.max("__last").over(Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1))
+    seen = ranged.withColumn("__within", within).join(F.broadcast(edges.select("__p", carried.alias("__carried"))), "__p")
+    return seen.where(F.greatest("__within", "__carried") > F.col(start)).select(*[f"`{c}`" for c in df.columns])
 
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from .. import decide, inspect
 from ..lake import Lake
@@ -10,6 +9,7 @@ from ..model import parse_model
 from ..operators.evolve import schema_diff
 from ..plans.lineage import column_lineage
 from ..runner import Runner
+from ..shared import own_folder
 from ..streaming import events
 from .tables import table
 
@@ -18,7 +18,7 @@ LOG = "SELECT * FROM (VALUES (1, 'raw.a', 'table', 10, 5), (2, 'staging.b', 'mer
 
 def run_type_decisions(spark, sf_dir):
     """Decisions of a small log, next to the same rule in SQL."""
-    lake = Lake(spark, f"file://{tempfile.mkdtemp(prefix='loom-')}")
+    lake = Lake(spark, own_folder(spark, "lake"))
     models = {n: parse_model(f"{h}SELECT 1 AS id", n) for n, h in (("raw.a", ""), ("mart.b", ""), ("mart.c", "-- @kind: append\n"), ("mart.d", ""))}
     entry = {"schema": {"type": "struct", "fields": []}, "files": []}
     log = [("raw.a", "h", []), ("mart.b", "h", ["raw.a"]), ("mart.c", "h", ["raw.a"]), ("mart.d", "old", ["raw.a"]), ("raw.a", "h", [])]
@@ -77,7 +77,7 @@ STAR = {
 
 def graph_star(spark, sf_dir):
     """Seven tables: two sources, four kinds, one mart; the result is the mart."""
-    lake = Lake(spark, f"file://{tempfile.mkdtemp(prefix='loom-')}")
+    lake = Lake(spark, own_folder(spark, "lake"))
     for name in ("orders", "customer"):
         lake.attach(f"raw.{name}", f"{sf_dir}/{name}.parquet")
     results = Runner(spark, lake).run_all([parse_model(t, n) for n, t in STAR.items()])

@@ -149,7 +149,16 @@ class Runner:
         df, out.run_type, quiet = self.query(model, decision.run_type, known)
         tags = model.tags
         df = apply_masks(df, tags, model.keys) if any(tags.values()) else df
-        staged = self._staged(df)
+        try:
+            staged = self._staged(df)
+        except Exception:
+            if out.run_type != decide.INCREMENTAL or model.kind not in ("append", "merge"):
+                raise
+            self._drop_staged()
+            out.warnings.append("the query failed on changed rows only: full run")
+            known = self._incremental(model, True) | run_variables(run)
+            df, out.run_type, quiet = self.query(model, decide.BACKFILL, known)
+            staged = self._staged(apply_masks(df, tags, model.keys) if any(tags.values()) else df)
         at = step("query", at)
         try:
             change, renamed = self._evolution(model, staged, out)

@@ -104,3 +104,35 @@ def test_rename_keeps_values(spark, lake):
     found = runner.run_all([seed, parse_model("-- @kind: append\nSELECT id, v AS w FROM raw.p", "mart.p")])
     assert "v → w" in found[1].warnings[0]
     assert [r.w for r in lake.read("mart.p").collect()] == ["x", "x"]
+
+
+@pytest.mark.parametrize("folder", ["plain", "with space", "per%20cent %41"])
+def test_merge_rewrites_files_under_any_path(spark, tmp_path, folder):
+    from sparkloom.lake import Lake
+
+    lake = Lake(spark, f"file://{tmp_path}/{folder}")
+    text = "-- @kind: merge\n-- @unique_key: id\nSELECT id, v FROM raw.s"
+    for values, want in (("(1, 1), (2, 2)", [(1, 1), (2, 2)]), ("(1, 9)", [(1, 9), (2, 2)]), ("(2, 8), (3, 3)", [(1, 9), (2, 8), (3, 3)])):
+        found = Runner(spark, lake).run_all([parse_model(f"SELECT * FROM (VALUES {values}) AS t(id, v)", "raw.s"), parse_model(text, "mart.t")])
+        assert [r.error for r in found] == [None, None]
+        assert sorted((r.id, r.v) for r in lake.read("mart.t").collect()) == want
+
+
+def test_a_source_of_several_columns_tells_no_rename():
+    from sparkloom.plans.lineage import IDENTITY, Output, Source, renames
+
+    x, y = Source("t", "x", IDENTITY), Source("t", "y", IDENTITY)
+    assert renames([Output("a", [x]), Output("k", [x])], [Output("b", [x]), Output("k", [x])]) == []
+    assert renames([Output("a", [x]), Output("k", [y])], [Output("b", [x]), Output("k", [y])]) == [("a", "b")]
+    assert renames([Output("a", [x])], [Output("b", [x]), Output("c", [x])]) == []
+
+
+def test_failing_changed_rows_run_in_full(spark, lake):
+    """A delta on which the query fails while it runs is answered by a full run."""
+    runner = Runner(spark, lake)
+    model = parse_model("-- @kind: append\nSELECT id, assert_true((SELECT count(*) FROM raw.s) >= 2) AS ok FROM raw.s", "mart.t")
+    seed = lambda v: parse_model(f"SELECT * FROM (VALUES {v}) AS t(id)", "raw.s")
+    assert [r.error for r in runner.run_all([seed("1, 2"), model])] == [None, None]
+    found = runner.run_all([seed("1, 2, 3"), model])[1]
+    assert found.error is None and found.run_type == "backfill" and "full run" in found.warnings[0]
+    assert sorted(r.id for r in lake.read("mart.t").collect()) == [1, 2, 3]
