@@ -6,6 +6,7 @@ import argparse
 import csv
 import io
 import json
+import re
 import sys
 from dataclasses import asdict
 
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decide, inspect, maintain, sandbox, validate
 from .config import find_project
+from .functions.dialect import to_spark
+from .functions.sqlmacros import Macros
 from .lake import Lake
 from .model import load_models
 from .plans.bind import bind
@@ -20,6 +23,7 @@ from .plans.refs import is_read_only
 from .runner import Runner
 from .shared import own_folder
 from .sources.state import State
+from .variables import run_variables
 
 MAINTENANCE = ("merge", "expire", "cleanup", "checkpoint")
 
@@ -78,7 +82,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command in ("run", "sandbox"):
         models = [m for m in load_models(project.folder) if args.model in (None, m.target)]
         if args.command == "run":
-            results = Runner(spark, lake, State(project.state_path), project.variables, decide.config_hash(project.folder)).run_all(models)
+            results = Runner(spark, lake, State(project.state_path), project.variables, decide.config_hash(project.folder), None, project.macros, project.macro_prefix).run_all(models)
             show([asdict(r) for r in results], [w for r in results for w in r.warnings])
         else:
             fork, results = sandbox.preview(spark, lake, own_folder(spark, "sandbox"), models)
@@ -106,10 +110,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 return 1
             df = lake.read(args.table)
         else:
-            if not is_read_only(spark, args.text):
+            text = to_spark(spark, Macros(project.macros, project.macro_prefix, lake, run=run_variables("sql")).expand(args.text))
+            if m := re.fullmatch(r"\s*SUMMARIZE\s+([\w.]+)\s*;?\s*", text, re.I):
+                df = inspect.summarize(lake.read(m[1]))
+            elif is_read_only(spark, text):
+                df = bind(spark, text, lambda n: lake.read(n) if lake.exists(n) else None)
+            else:
                 print("only statements that read", file=sys.stderr)
                 return 1
-            df = bind(spark, args.text, lambda n: lake.read(n) if lake.exists(n) else None)
         print(render(df.limit(args.limit) if args.limit else df, args.format))
     elif args.command == "merge":
         show({n: maintain.merge_files(lake, n) for n in lake.log.tables()})

@@ -30,6 +30,11 @@ class Project:
     folder: str
     env: dict[str, str] = field(default_factory=dict)
     variables: dict[str, object] = field(default_factory=dict)
+    macros: list[str] = field(default_factory=list)
+
+    @property
+    def macro_prefix(self) -> str:
+        return self.env.get("MACRO_PREFIX", "")
 
     @property
     def lake_path(self) -> str:
@@ -51,5 +56,6 @@ def find_project(start: str = ".") -> Project:
             for name in ("constants", "global"):
                 for p in sorted((folder / "config" / "variables").glob(f"{name}*.sql")):
                     variables |= parse_settings(expand(p.read_text(), env))
-            return Project(str(folder), env, variables)
+            macros = [expand(p.read_text(), env) for p in sorted((folder / "config" / "macros").rglob("*.sql"))]
+            return Project(str(folder), env, variables, macros)
     raise FileNotFoundError("no project: no models folder here or above")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from . import types
 from .lake import Lake
 from .operators.joins import top_n
 from .plans.lineage import impact
 
 
+
 def history(lake: Lake, model: str | None = None, limit: int = 20) -> DataFrame:
     out = lake.snapshots().where("model IS NOT NULL")
     if model:
@@ -56,3 +58,18 @@ def describe(lake: Lake, name: str) -> dict:
         "columns": [{"name": f.name, "type": f.dataType.simpleString(), "comment": (entry.get("columns") or {}).get(f.name)} for f in df.schema.fields],
         "depends": commit.info.get("depends") if commit else [], "last_run": commit.time if commit else None, "lineage": commit.info.get("column_lineage") if commit else [],
     }
+
+
+def summarize(df: DataFrame) -> DataFrame:
+    """One row for each column: type, least, greatest, distinct (approximate), rows and share of nulls; one pass over the table."""
+    parts = []
+    for i, f in enumerate(df.schema.fields):
+        c = F.col(f"`{f.name}`")
+        text = lambda x: x.cast("string")
+        parts.append(
+            F.struct(
+                F.lit(i).alias("place"), F.lit(f.name).alias("column_name"), F.lit(types.canonical(f.dataType)).alias("column_type"), text(F.min(c)).alias("least"), text(F.max(c)).alias("greatest"),
+                F.approx_count_distinct(c).alias("approx_unique"), F.count(F.lit(1)).alias("rows"), F.round(F.try_divide(F.count_if(c.isNull()) * 100.0, F.count(F.lit(1))), 2).alias("null_percentage"),
+            )
+        )
+    return df.agg(F.array(*parts).alias("c")).select(F.inline("c")).orderBy("place").drop("place")

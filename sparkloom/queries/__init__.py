@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("check_queries", "kind_queries", "relational_queries", "pipeline_queries")
+MODULES = ("check_queries", "kind_queries", "relational_queries", "pipeline_queries", "lake_queries")
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in MODULES:

@@ -16,6 +16,7 @@ from . import decide
 from .dag import Graph
 from .functions.dialect import to_spark
 from .functions.masking import apply_masks
+from .functions.sqlmacros import Macros, register_checks
 from .lake import Lake
 from .lake.table import ROWID
 from .model import Model
@@ -58,9 +59,11 @@ class Runner:
     ``fallback`` is a lake that is read where ``lake`` lacks a table (production, under a sandbox).
     """
 
-    def __init__(self, spark: SparkSession, lake: Lake, state: State | None = None, variables: dict | None = None, config_hash: str = "", fallback: Lake | None = None):
+    def __init__(self, spark: SparkSession, lake: Lake, state: State | None = None, variables: dict | None = None, config_hash: str = "", fallback: Lake | None = None, macros: list[str] = (), macro_prefix: str = ""):
         self.spark, self.lake, self.state = spark, lake, state or State()
         self.variables, self.config, self.fallback = dict(variables or {}), config_hash, fallback
+        self.macros = Macros(list(macros), macro_prefix, lake, self.table, run_variables(run_id()) | {"dag_start": lake.log.last()})
+        register_checks(self.macros, lambda text: to_spark(spark, text))
 
     # -- sources
 
@@ -69,6 +72,10 @@ class Runner:
             return self.lake.read(name, version)
         return self.fallback.read(name, version)
 
+    def text(self, model: Model, variables: dict) -> str:
+        """A model's query as Spark SQL: macros expanded, variables put in, the dialect rewritten."""
+        return to_spark(self.spark, substitute(self.macros.expand(model.sql), variables), lambda n: self.table(n).columns)
+
     def _known(self, name: str) -> bool:
         return self.lake.exists(name) or self.fallback is not None and self.fallback.exists(name)
 
@@ -91,7 +98,11 @@ class Runner:
         if name in READERS:
             return READERS[name](self.spark, *args), False
         lib = fetching.REGISTRY[name]
+        left = self.state.fetch_of(model.target)
+        if left and left[0] in self.lake.log.acked():  # committed, but the run ended before the buffer was cleared
+            self.state.clear_buffer(model.target)
         got = fetching.fetch_rows(lib, args, self.state, model.target, **known)
+        self._claims += [got.claim] if got.claim else []
         if not got.rows and not lib.columns and self.lake.exists(model.target):
             return self.lake.read(model.target).limit(0), got.no_change
         return fetching.to_frame(self.spark, got.rows, lib.columns or None), got.no_change
@@ -99,8 +110,8 @@ class Runner:
     def query(self, model: Model, run_type: str, known: dict) -> tuple[DataFrame, str, bool]:
         """(result, run type, nothing fetched): the model's query on full, changed or empty inputs."""
         variables = self.variables | known
-        text = to_spark(self.spark, substitute(model.sql, variables), lambda n: self.table(n).columns)
-        last = self.lake.log.latest(model.target)
+        text = self.text(model, variables)
+        last, self._claims = self.lake.log.latest(model.target), []
         spans = {r.name: text[r.start : r.stop + 1] for r in relations(self.spark, text) if r.table_function}
         called = {n: self._call(t, model, known) for n, t in spans.items() if n in READERS or n in fetching.REGISTRY}
         quiet = bool(called) and all(q for _, q in called.values())
@@ -140,7 +151,7 @@ class Runner:
             return time.time()
 
         at = time.time()
-        if limits := row_limits(self.spark, to_spark(self.spark, substitute(model.sql, self.variables), lambda n: self.table(n).columns)):
+        if limits := row_limits(self.spark, self.text(model, self.variables)):
             raise RunError(f"{model.target}: {' and '.join(limits)} not allowed in a model; use row_number() and a filter")
         base = self.lake.log.last()
         exists = self.lake.exists(model.target)
@@ -184,14 +195,14 @@ class Runner:
                 if bad := failures(new, "audit", model.audits, context):
                     raise RunError(f"{model.target}: audit failed: {'; '.join(bad)}")
                 at = step("audits", at)
-            lineage = [{"column": o.column, "sources": [vars(s) for s in o.sources]} for o in column_lineage(self.spark, to_spark(self.spark, substitute(model.sql, known), lambda n: self.table(n).columns))]
+            lineage = [{"column": o.column, "sources": [vars(s) for s in o.sources]} for o in column_lineage(self.spark, self.text(model, known))]
             info = {
                 "model": model.target, "kind": model.kind, "sql_hash": hash_, "run_type": out.run_type, "reason": out.reason, "rows_affected": out.rows, "dag_run_id": run,
-                "depends": dependencies(self.spark, to_spark(self.spark, substitute(model.sql, known), lambda n: self.table(n).columns)), "columns": [{"name": n, "type": t} for n, t in evolve.columns_of(staged.schema)],
+                "depends": dependencies(self.spark, self.text(model, known)), "columns": [{"name": n, "type": t} for n, t in evolve.columns_of(staged.schema)],
                 "column_lineage": lineage, "source_file": model.path, "duration_ms": round((time.time() - began) * 1000), "steps": out.steps,
             }
             entry = self.lake.entry(schema, files, model.kind, comment=model.description, columns=model.columns, tags=model.tags)
-            out.snapshot = self.lake.commit({model.target: entry}, info, base=base).id
+            out.snapshot = self.lake.commit({model.target: entry}, info, self._claims, base=base).id
             self.state.clear_buffer(model.target)
         finally:
             self._drop_staged()
@@ -227,7 +238,7 @@ class Runner:
             return change, []
         if change.added and change.dropped:
             old = [Output(o["column"], [Source(**s) for s in o["sources"]]) for o in last.info.get("column_lineage", [])]
-            change = evolve.with_renames(change, renames(old, column_lineage(self.spark, to_spark(self.spark, substitute(model.sql, self.variables), lambda n: self.table(n).columns))))
+            change = evolve.with_renames(change, renames(old, column_lineage(self.spark, self.text(model, self.variables))))
         out.warnings.append(change.message())
         retyped = {n.lower() for n, _, _ in change.retyped}
         if any(k.lower() in retyped for k in model.keys):

@@ -1,7 +1,10 @@
 """Fetch: table functions that call Python to get rows from outside.
 
 Paginated libraries give ``{"rows": [...], "next": cursor}`` per page; asynchronous ones are submitted,
-polled and collected.  Rows go to a durable buffer first, so a crash after a page loses nothing.
+polled and collected.  Rows go to a durable buffer first, with the place of the next page in the same
+transaction, under one claim for the whole fetch.  A run after a crash goes on behind the last page that
+was kept; the claim is acknowledged in the commit that takes the rows, so a crash between the commit and
+the buffer's clearing does not load them again.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 import inspect
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -62,39 +66,44 @@ def call(fn: Callable, *args, **known):
 class Fetched:
     rows: list[dict]
     no_change: bool = False
+    claim: str | None = None
 
 
 def fetch_rows(lib: Library, args: list, state: State, target: str, sleep: Callable[[float], None] = time.sleep, **known) -> Fetched:
     """All rows of a call, through the buffer of ``target``; rows left by a crashed run come first."""
     no_change, seen, known = False, set(), known | {"target": target}
+    left = state.fetch_of(target)
+    claim, page, done = left or (uuid.uuid4().hex, None, False)
+    page = json.loads(page) if page else None
     try:
-        if lib.submit is not None:
+        if done:
+            pass
+        elif lib.submit is not None:
             job, wait, began = call(lib.submit, *args, **known), lib.interval, time.monotonic()
             while not call(lib.check, job, **known):
                 if time.monotonic() - began > lib.timeout:
                     raise FetchError(f"{lib.name}: no result after {lib.timeout:g} s")
                 sleep(wait)
                 wait *= lib.backoff
-            state.buffer(target, _rows(call(lib.result, job, **known)))
+            state.keep_page(target, claim, _rows(call(lib.result, job, **known)), None, True)
         else:
-            page = None
-            while True:
+            while not done:
                 got = call(lib.fetch, *args, page=page, **known)
                 if not isinstance(got, dict):
                     got = {"rows": list(got or [])}
-                state.buffer(target, got.get("rows") or [])
                 no_change = got.get("empty_result") == "no_change"
                 page = got.get("next")
-                if page in (None, ""):
-                    break
+                done = page in (None, "")
                 mark = json.dumps(page, sort_keys=True, default=str)
-                if mark in seen:
+                if not done and mark in seen:
                     raise FetchError(f"{lib.name}: page {page} came twice")
                 seen.add(mark)
+                state.keep_page(target, claim, got.get("rows") or [], None if done else mark, done)
     except Abort:
+        state.clear_buffer(target)
         return Fetched([], False)
     rows = state.buffered(target)
-    return Fetched(rows, no_change and not rows)
+    return Fetched(rows, no_change and not rows, claim)
 
 
 def _rows(got) -> Iterable[dict]:

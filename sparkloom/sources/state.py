@@ -17,6 +17,7 @@ CREATE TABLE IF NOT EXISTS queue (target TEXT, rowid INTEGER, change TEXT, snaps
     PRIMARY KEY (target, rowid, change));
 CREATE TABLE IF NOT EXISTS dead (target TEXT, rowid INTEGER, change TEXT, snapshot INTEGER, reason TEXT);
 CREATE TABLE IF NOT EXISTS jobs (target TEXT, batch TEXT, ref TEXT, PRIMARY KEY (target, batch));
+CREATE TABLE IF NOT EXISTS fetches (target TEXT PRIMARY KEY, claim TEXT, page TEXT, done INTEGER);
 CREATE TABLE IF NOT EXISTS tokens (name TEXT PRIMARY KEY, value TEXT, until REAL);
 """
 
@@ -38,6 +39,18 @@ class State:
     def clear_buffer(self, target: str) -> None:
         with self.db:
             self.db.execute("DELETE FROM buffer WHERE target = ?", (target,))
+            self.db.execute("DELETE FROM fetches WHERE target = ?", (target,))
+
+    def fetch_of(self, target: str) -> tuple[str, str | None, bool] | None:
+        """(claim, next page as JSON, finished) of a fetch whose rows no commit has taken yet."""
+        found = self.db.execute("SELECT claim, page, done FROM fetches WHERE target = ?", (target,)).fetchone()
+        return (found[0], found[1], bool(found[2])) if found else None
+
+    def keep_page(self, target: str, claim: str, rows: Iterable[dict], page: str | None, done: bool) -> None:
+        """A page's rows and where to go on, in one transaction: a crash comes before both or after both."""
+        with self.db:
+            self.db.executemany("INSERT INTO buffer VALUES (?, ?)", [(target, json.dumps(r, default=str)) for r in rows])
+            self.db.execute("INSERT OR REPLACE INTO fetches VALUES (?, ?, ?, ?)", (target, claim, page, done))
 
     # -- push queue
 
@@ -71,6 +84,11 @@ class State:
         with self.db:
             self.db.executemany("UPDATE queue SET claim = NULL, claimed = NULL, tries = tries + 1 WHERE target = ? AND rowid = ? AND change = ?", [(target, r, c) for r, c in events])
 
+    def release(self, claim: str) -> None:
+        """Give back what a claim still holds; it counts as a try."""
+        with self.db:
+            self.db.execute("UPDATE queue SET claim = NULL, claimed = NULL, tries = tries + 1 WHERE claim = ?", (claim,))
+
     def reject(self, target: str, events: Iterable[tuple[int, str, int, str]]) -> None:
         events = list(events)
         with self.db:

@@ -10,7 +10,7 @@ from sparkloom.model import ModelError, parse_model, target_of
 from sparkloom.operators import checks, evolve, kinds
 from sparkloom.plans import lineage, refs
 from sparkloom.plans.bind import bind
-from sparkloom.runner import Runner, run_id
+from sparkloom.runner import Runner, RunError, run_id
 from sparkloom.sources import fetch, push
 from sparkloom.sources.state import EVENT_TTL, State
 from sparkloom.streaming import events
@@ -248,3 +248,74 @@ def test_history_and_groups_rewrite_touched_files_only(spark, lake):
         assert len(before[m.target]) == 1 or kept
     changed = {r.change_type for r in lake.changes("mart.h", lake.log.last() - 1, lake.log.last()).collect()}
     assert changed == {"insert", "update_preimage", "update_postimage"}
+
+
+def test_a_crash_loads_no_page_twice(spark, lake):
+    """Page 2 fails once: the next run goes on behind page 1.  After a commit a kept buffer is not loaded again."""
+    asked, broken = [], [True]
+
+    def pages(page):
+        asked.append(page)
+        if page == 2 and broken:
+            broken.clear()
+            raise RuntimeError("the network is down")
+        return {"rows": [{"id": page or 1}], "next": None if page == 2 else 2}
+
+    fetch.library(fetch.Library("shaky", fetch=lambda page: pages(page), columns={"id": "BIGINT"}))
+    runner = Runner(spark, lake)
+    model = lambda n: parse_model(f"-- @kind: append\n-- @fetch\nSELECT id, {n} AS run FROM shaky()", "raw.c")
+    with pytest.raises(RuntimeError):
+        runner.run(model(1))
+    runner.run(model(1))
+    assert asked == [None, 2, 2] and sorted(r.id for r in lake.read("raw.c").collect()) == [1, 2]
+    clear, runner.state.clear_buffer = runner.state.clear_buffer, lambda target: None
+    runner.run(model(2))
+    runner.state.clear_buffer = clear
+    assert runner.state.buffered("raw.c") and runner.state.fetch_of("raw.c")[0] in lake.log.acked()
+    runner.run(model(3))
+    assert sorted((r.id, r.run) for r in lake.read("raw.c").collect() if r.run == 3) == [(1, 3), (2, 3)]
+    assert not runner.state.buffered("raw.c")
+
+
+def test_push_reads_a_chunk_at_once(spark, lake, monkeypatch):
+    sizes, scans = [], []
+    plain = push.hydrate
+    monkeypatch.setattr(push, "hydrate", lambda *a: scans.append(len(a[2])) or plain(*a))
+    lib = fetch.Library("many", push=lambda rows: sizes.append(len(rows)) or {f"{r['__rowid']}:{r['__change_type']}": "error: no" if r["id"] % 50 == 0 else "ok" for r in rows})
+    fetch.library(lib)
+    runner = Runner(spark, lake)
+    found = runner.run(parse_model("-- @push: many\nSELECT id FROM range(250) t(id)", "raw.n"))
+    assert scans == [250] and sizes == [100, 100, 50] and len(found.warnings) == 5 and runner.state.backlog("raw.n") == 5
+
+
+def test_macros():
+    from sparkloom.functions.sqlmacros import MacroError, Macros
+
+    own = Macros(["CREATE MACRO a(x) AS b(x) + 1; -- comment\nCREATE MACRO s.b(x, k := 2) AS x * k;", "CREATE MACRO loop(x) AS loop(x);"], "p_")
+    assert own.expand("SELECT a(v - 1), 'a(1)' FROM t -- a(2)") == "SELECT (((v - 1) * 2) + 1), 'a(1)' FROM t -- a(2)"
+    assert own.expand("SELECT b(x := 3, k := y)") == "SELECT (3 * y)" and own.expand("p_row_count('a.b')") == "((SELECT count(*) FROM a.b))"
+    assert own.expand("SELECT now(), strftime(d, '%H h')") == "SELECT now(), date_format(d, 'HH \\'h\\'')"
+    for bad in ("loop(1)", "a()", "b(1, 2, 3)", "column_type(a + b, 'c')"):
+        with pytest.raises(MacroError):
+            own.expand(bad)
+
+
+def test_own_checks_in_sql(spark, lake):
+    runner = Runner(spark, lake, macros=["CREATE MACRO constraint_under(t, col, lim) AS TABLE SELECT 1 FROM query_table(t) WHERE query_columns(col) >= lim;"])
+    runner.run(parse_model("-- @constraint: under(id, 10)\nSELECT id FROM range(10) t(id)", "raw.u"))
+    with pytest.raises(RunError, match="constraint failed"):
+        runner.run(parse_model("-- @constraint: under(id, 9)\nSELECT id FROM range(10) t(id)", "raw.v"))
+
+
+def test_cli_knows_the_project_s_macros(spark, tmp_path, capsys):
+    from sparkloom import cli
+
+    (tmp_path / "models" / "raw").mkdir(parents=True)
+    (tmp_path / "config" / "macros").mkdir(parents=True)
+    (tmp_path / "config" / "macros" / "m.sql").write_text("CREATE MACRO plus(a) AS a + 1;")
+    (tmp_path / "models" / "raw" / "t.sql").write_text("SELECT plus(id) AS id FROM range(3) t(id)")
+    assert cli.main(["--project", str(tmp_path), "run"], spark) == 0
+    assert cli.main(["--project", str(tmp_path), "sql", "SELECT plus(max(id)) AS m FROM raw.t", "--format", "csv"], spark) == 0
+    assert capsys.readouterr().out.rstrip().endswith("4")
+    assert cli.main(["--project", str(tmp_path), "sql", "SUMMARIZE raw.t", "--format", "json"], spark) == 0
+    assert '"rows": 3' in capsys.readouterr().out
