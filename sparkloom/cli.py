@@ -22,6 +22,7 @@ from .plans.bind import bind
 from .plans.refs import is_read_only
 from .runner import Runner
 from .shared import own_folder
+from .sources.api import load_libraries
 from .sources.state import State
 from .variables import run_variables
 
@@ -80,6 +81,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     show = lambda data, warnings=(): print(envelope(data, warnings) if args.json else json.dumps(data, indent=1, default=str))
 
     if args.command in ("run", "sandbox"):
+        load_libraries(project.folder, project.env or None)
         models = [m for m in load_models(project.folder) if args.model in (None, m.target)]
         if args.command == "run":
             results = Runner(spark, lake, State(project.state_path), project.variables, decide.config_hash(project.folder), None, project.macros, project.macro_prefix).run_all(models)

@@ -73,3 +73,60 @@ def summarize(df: DataFrame) -> DataFrame:
             )
         )
     return df.agg(F.array(*parts).alias("c")).select(F.inline("c")).orderBy("place").drop("place")
+
+
+def _edges(lake: Lake) -> dict[str, list[str]]:
+    """model -> what its last commit read."""
+    out: dict[str, list[str]] = {}
+    for c in lake.log.all():
+        if c.info.get("model"):
+            out[c.info["model"]] = list(c.info.get("depends") or [])
+    return out
+
+
+def lineage_overview(lake: Lake) -> DataFrame:
+    """level, model, reads, read_by: all models, sources of others first; a level is the longest way from a source."""
+    edges = _edges(lake)
+    names = sorted({*edges, *(d for x in edges.values() for d in x)})
+    levels: dict[str, int] = {}
+
+    def level(n: str, above: tuple = ()) -> int:
+        if n not in levels:
+            levels[n] = 1 + max((level(d, (*above, n)) for d in edges.get(n, []) if d not in above), default=-1)
+        return levels[n]
+
+    rows = [(level(n), n, len(edges.get(n, [])), sum(n in x for x in edges.values())) for n in names]
+    return lake.spark.createDataFrame(sorted(rows), "level int, model string, reads int, read_by int")
+
+
+def lineage_tree(lake: Lake, model: str, down: bool = False) -> list[str]:
+    """A model and what it reads (or what reads it, ``down``), as lines of a tree."""
+    edges = _edges(lake)
+    near = (lambda n: sorted(m for m, x in edges.items() if n in x)) if down else (lambda n: sorted(edges.get(n, [])))
+
+    def lines(n: str, lead: str, above: tuple) -> list[str]:
+        out = []
+        for i, child in enumerate(some := [c for c in near(n) if c not in above]):
+            last = i == len(some) - 1
+            out.append(f"{lead}{'└─ ' if last else '├─ '}{child}")
+            out += lines(child, lead + ("   " if last else "│  "), (*above, child))
+        return out
+
+    return [model, *lines(model, "", (model,))]
+
+
+def column_trace(lake: Lake, model: str, column: str) -> DataFrame:
+    """step, model, column, source_table, source_column, transformation: a column's way back to its sources."""
+    rows, todo, seen = [], [(0, model, column)], set()
+    while todo:
+        step, m, c = todo.pop(0)
+        commit = lake.log.latest(m)
+        if commit is None or (m, c) in seen:
+            continue
+        seen.add((m, c))
+        for o in commit.info.get("column_lineage", []):
+            if o["column"].lower() == c.lower():
+                for x in o["sources"]:
+                    rows.append((step, m, o["column"], x["table"], x["column"], x["transformation"]))
+                    todo.append((step + 1, x["table"], x["column"]))
+    return lake.spark.createDataFrame(rows, "step int, model string, column string, source_table string, source_column string, transformation string")

@@ -40,6 +40,11 @@ def row_changes(old: DataFrame, new: DataFrame, rowid: str) -> DataFrame:
     return changed.select(rowid, F.inline(found)).select(rowid, "change_type", *[F.col(f"row.`{c}`").alias(c) for c in values])
 
 
+def insert_only(changes: DataFrame) -> DataFrame:
+    """snapshot_id, insert_only: whether a snapshot has neither deletions nor new values of old rows."""
+    return changes.groupBy("snapshot_id").agg(F.every(~F.col("change_type").isin(DELETE, AFTER)).alias("insert_only"))
+
+
 def cursor_state(target: DataFrame | None, cursor: str, initial: str = "1970-01-01T00:00:00Z") -> str:
     """The largest cursor value as text, or the initial one without rows."""
     if target is None:

@@ -7,6 +7,7 @@ from ..functions.dialect import to_spark
 from ..functions.sqlmacros import Macros
 from ..lake import Lake
 from ..model import parse_model
+from ..operators import cdc
 from ..plans.bind import bind
 from ..runner import Runner
 from ..shared import own_folder
@@ -59,6 +60,28 @@ def lake_snapshots(spark, sf_dir):
     return lake.snapshots().where("model is not null").select("model", "kind", "run_type", "rows_affected")
 
 
+def lake_insert_only(spark, sf_dir):
+    lake, _ = _runs(spark, sf_dir, "mart.t", f"{EVEN}---{MERGE}", f"{THIRD}---{MERGE}")
+    found = cdc.insert_only(lake.changes("mart.t", 0, lake.log.last()))
+    return found.selectExpr("CAST(dense_rank() OVER (ORDER BY snapshot_id) AS INT) AS version", "insert_only")
+
+
+def lin_overview(spark, sf_dir):
+    lake, _ = _runs(spark, sf_dir, "mart.t", f"{EVEN}---{MERGE}")
+    return inspect.lineage_overview(lake)
+
+
+def lin_trace(spark, sf_dir):
+    lake, _ = _runs(spark, sf_dir, "mart.t", f"{EVEN}---SELECT id, price * 2 AS twice FROM staging.s")
+    return inspect.column_trace(lake, "mart.t", "twice")
+
+
+def lin_tree(spark, sf_dir):
+    lake, _ = _runs(spark, sf_dir, "mart.t", f"{EVEN}---{MERGE}")
+    rows = [(way, i, x) for way in ("up", "down") for i, x in enumerate(inspect.lineage_tree(lake, "mart.t" if way == "up" else "raw.orders", way == "down"))]
+    return spark.createDataFrame(rows, "way string, line int, text string")
+
+
 def run_merge(spark, sf_dir):
     return _runs(spark, sf_dir, "mart.t", f"{EVEN}---{MERGE}", f"{THIRD}---{MERGE}")[0].read("mart.t")
 
@@ -198,7 +221,7 @@ ASKED = {
 _E = "SELECT o_orderkey AS id, o_custkey AS cust, o_totalprice AS price FROM orders WHERE o_orderkey % 2 = 0"
 _T = "SELECT o_orderkey AS id, o_custkey AS cust, o_totalprice + 1 AS price FROM orders WHERE o_orderkey % 3 = 0"
 _MERGED = f"SELECT * FROM ({_E}) WHERE id % 3 <> 0 UNION ALL {_T}"
-_RUNS = (lake_time_travel, lake_change_feed, lake_snapshots, run_merge, run_scd2, run_tracked, run_append, run_gate, run_added_column, run_renamed_column, run_widened_column, run_key_type, run_schema_change, run_cursor, run_retry, run_propagation, src_csv, src_json, src_summarize, macro_check, macro_commits)
+_RUNS = (lake_time_travel, lake_change_feed, lake_snapshots, lake_insert_only, lin_overview, lin_trace, lin_tree, run_merge, run_scd2, run_tracked, run_append, run_gate, run_added_column, run_renamed_column, run_widened_column, run_key_type, run_schema_change, run_cursor, run_retry, run_propagation, src_csv, src_json, src_summarize, macro_check, macro_commits)
 
 QUERIES = {f.__name__: f for f in _RUNS} | {n: _asked(*x) for n, x in ASKED.items()}
 ORACLES = {
@@ -207,6 +230,10 @@ ORACLES = {
         UNION ALL SELECT 'update_preimage', id, price FROM ({_E}) WHERE id % 3 = 0""",
     "lake_snapshots": f"""SELECT 'staging.s' AS model, 'table' AS kind, 'backfill' AS run_type, (SELECT count(*) FROM ({_E})) AS rows_affected UNION ALL SELECT 'mart.t', 'merge', 'backfill', (SELECT count(*) FROM ({_E}))
         UNION ALL SELECT 'staging.s', 'table', 'backfill', (SELECT count(*) FROM ({_T})) UNION ALL SELECT 'mart.t', 'merge', 'incremental', (SELECT count(*) FROM ({_T}))""",
+    "lake_insert_only": f"SELECT 1 AS version, true AS insert_only UNION ALL SELECT 2, (SELECT count(*) FROM ({_T}) WHERE id % 2 = 0) = 0",
+    "lin_overview": "SELECT * FROM (VALUES (0, 'raw.orders', 0, 1), (1, 'staging.s', 1, 1), (2, 'mart.t', 1, 0)) t(level, model, reads, read_by)",
+    "lin_trace": "SELECT * FROM (VALUES (0, 'mart.t', 'twice', 'staging.s', 'price', 'ARITHMETIC'), (1, 'staging.s', 'price', 'raw.orders', 'o_totalprice', 'IDENTITY')) t(step, model, \"column\", source_table, source_column, transformation)",
+    "lin_tree": "SELECT * FROM (VALUES ('up', 0, 'mart.t'), ('up', 1, '└─ staging.s'), ('up', 2, '   └─ raw.orders'), ('down', 0, 'raw.orders'), ('down', 1, '└─ staging.s'), ('down', 2, '   └─ mart.t')) t(way, line, \"text\")",
     "run_merge": _MERGED,
     "run_scd2": f"SELECT id, price, false AS is_current, false AS open FROM ({_E}) UNION ALL SELECT id, price, true, true FROM ({_T})",
     "run_tracked": _T,

@@ -98,6 +98,8 @@ class Runner:
         if name in READERS:
             return READERS[name](self.spark, *args), False
         lib = fetching.REGISTRY[name]
+        if lib.fetch_kinds and model.kind not in lib.fetch_kinds:
+            raise RunError(f"{model.target}: {name} does not give kind {model.kind}")
         left = self.state.fetch_of(model.target)
         if left and left[0] in self.lake.log.acked():  # committed, but the run ended before the buffer was cleared
             self.state.clear_buffer(model.target)
@@ -105,7 +107,10 @@ class Runner:
         self._claims += [got.claim] if got.claim else []
         if not got.rows and not lib.columns and self.lake.exists(model.target):
             return self.lake.read(model.target).limit(0), got.no_change
-        return fetching.to_frame(self.spark, got.rows, lib.columns or None), got.no_change
+        df = fetching.to_frame(self.spark, got.rows, lib.columns or None)
+        if lib.supported_columns and (odd := [c for c in df.columns if c not in lib.supported_columns]):
+            raise RunError(f"{model.target}: {name} does not give column {odd[0]}")
+        return df, got.no_change
 
     def query(self, model: Model, run_type: str, known: dict) -> tuple[DataFrame, str, bool]:
         """(result, run type, nothing fetched): the model's query on full, changed or empty inputs."""
@@ -323,7 +328,10 @@ class Runner:
             return
         if out.snapshot is not None:
             self.state.enqueue(model.target, pushing.delta_events(self.lake, model.target, (base or 0) + 1, out.snapshot), replace=backfill)
-        done = pushing.push(self.lake, self.state, lib, model.target, mode="async" if lib.submit and lib.push is None else "sync")
+        if lib.push_kinds and model.kind not in lib.push_kinds:
+            raise RunError(f"{model.target}: {lib.name} does not take kind {model.kind}")
+        mode = lib.mode or ("async" if lib.submit and lib.push is None else "sync")
+        done = pushing.push(self.lake, self.state, lib, model.target, lib.batch_size, mode, lib.workers)
         out.warnings += done.warnings + done.errors
 
     # -- all models

@@ -44,6 +44,22 @@ class Library:
     backoff: float = 1.5
     timeout: float = 600.0
     columns: dict[str, str] = field(default_factory=dict)
+    batch_size: int = 100
+    mode: str | None = None
+    workers: int = 1
+    supported_columns: list[str] | None = None
+    fetch_kinds: list[str] | None = None
+    push_kinds: list[str] | None = None
+
+
+class Save:
+    """Handed to a library that saves its rows one by one instead of returning them."""
+
+    def __init__(self):
+        self.rows: list[dict] = []
+
+    def row(self, values: dict) -> None:
+        self.rows.append(dict(values))
 
 
 REGISTRY: dict[str, Library] = {}
@@ -88,9 +104,10 @@ def fetch_rows(lib: Library, args: list, state: State, target: str, sleep: Calla
             state.keep_page(target, claim, _rows(call(lib.result, job, **known)), None, True)
         else:
             while not done:
-                got = call(lib.fetch, *args, page=page, **known)
-                if not isinstance(got, dict):
-                    got = {"rows": list(got or [])}
+                save = Save()
+                got = call(lib.fetch, *args, page=page, save=save, **known)
+                got = got if isinstance(got, dict) else {"rows": list(got or [])}
+                got["rows"] = [*(got.get("rows") or []), *save.rows]
                 no_change = got.get("empty_result") == "no_change"
                 page = got.get("next")
                 done = page in (None, "")
@@ -98,7 +115,7 @@ def fetch_rows(lib: Library, args: list, state: State, target: str, sleep: Calla
                 if not done and mark in seen:
                     raise FetchError(f"{lib.name}: page {page} came twice")
                 seen.add(mark)
-                state.keep_page(target, claim, got.get("rows") or [], None if done else mark, done)
+                state.keep_page(target, claim, got["rows"], None if done else mark, done)
     except Abort:
         state.clear_buffer(target)
         return Fetched([], False)

@@ -319,3 +319,68 @@ def test_cli_knows_the_project_s_macros(spark, tmp_path, capsys):
     assert capsys.readouterr().out.rstrip().endswith("4")
     assert cli.main(["--project", str(tmp_path), "sql", "SUMMARIZE raw.t", "--format", "json"], spark) == 0
     assert '"rows": 3' in capsys.readouterr().out
+
+
+def test_http_libraries(spark, lake, tmp_path):
+    """Pages, authentication, a refusal that is tried again, and batches, against a server of this process."""
+    import json as js
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from sparkloom.sources import api
+
+    seen, refused, taken = [], [1], []
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self, status, body, **headers):
+            self.send_response(status)
+            for k, v in headers.items():
+                self.send_header(k.replace("_", "-"), v)
+            self.end_headers()
+            self.wfile.write(js.dumps(body).encode())
+
+        def do_GET(self):
+            seen.append((self.path, self.headers.get("X-Api-Key"), self.headers.get("Accept")))
+            if refused:
+                refused.pop()
+                return self.answer(429, {}, Retry_After="0")
+            second = "page=2" in self.path
+            self.answer(200, {"items": [{"id": 2 if second else 1}], "next": None if second else 2})
+
+        def do_POST(self):
+            taken.append(js.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.answer(201, {"ok": True})
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib" / "shop.py").write_text(
+        f"""
+API = {{"base_url": "http://127.0.0.1:{server.server_port}/v1", "auth": {{"env": "KEY", "header": "X-Api-Key"}}, "headers": {{"Accept": "text/json"}}, "retry": 2, "backoff": 0, "rate_limit": {{"requests": 1000, "per": "1s"}},
+    "fetch": {{"args": ["what"], "page_size": 1, "supported_kinds": ["table", "append"]}}, "push": {{"batch_size": 2}}}}
+def fetch(what, page, http, save):
+    got = http.get(what, params={{"page": page or 1}}).json()
+    for x in got["items"]:
+        save.row(x)
+    return {{"rows": [], "next": got["next"]}}
+def push(rows, http):
+    return "ok" if http.post("/take", json=[r["id"] for r in rows]).ok else "error"
+"""
+    )
+    assert api.load_libraries(str(tmp_path), {"KEY": "k1"}) == ["shop"]
+    runner = Runner(spark, lake)
+    runner.run(parse_model("-- @fetch\n-- @push: shop\nSELECT id::BIGINT AS id FROM shop('items')", "raw.shop"))
+    server.shutdown()
+    assert sorted(r.id for r in lake.read("raw.shop").collect()) == [1, 2] and sorted(taken[0]) == [1, 2]
+    assert seen[0] == seen[1] == ("/v1/items?page=1", "k1", "text/json") and len(seen) == 3
+    with pytest.raises(RunError, match="does not give kind"):
+        runner.run(parse_model("-- @kind: merge\n-- @unique_key: id\n-- @fetch\nSELECT id FROM shop('items')", "raw.other"))
+    basic = api.authorize({"user": {"env": "U"}, "pass": {"env": "P"}}, {"U": "a", "P": "b"})
+    assert basic == ({"Authorization": "Basic YTpi"}, {}) and api.authorize({"env": "K", "param": "key"}, {"K": "1"}) == ({}, {"key": "1"})
+    assert api.authorize({"provider": "some-one"}, {"OAUTH_TOKEN_SOME_ONE": "t"})[0] == {"Authorization": "Bearer t"}
+    with pytest.raises(api.ApiError):
+        api.authorize({"env": "K"}, {})
+    assert [api.seconds(x) for x in ("5s", "2m", "1h", 3, "250ms")] == [5, 120, 3600, 3, 0.25]
