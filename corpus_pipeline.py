@@ -119,9 +119,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``; every stage is written and read again."""
+    """The rows of the last stage over ``documents``; every stage is written and read again, then its input goes."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.keep_only(name)
     return docs

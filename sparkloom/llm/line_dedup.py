@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .columns import free_name
+from .columns import free_name, spread
 from .scratch import Scratch
 
 #: One line in so many ends a chunk.
@@ -94,9 +94,10 @@ def dedup_lines(docs: DataFrame, least: int = 1) -> DataFrame:
         again = again.select("doc_id", "pos", "first_doc", "first_pos").unionByName(apart.select("doc_id", "pos", "first_doc", "first_pos"))
     again = again.where("doc_id <> first_doc or pos <> first_pos")
 
-    names = {n: free_name(docs, n) for n in ("lines_before", "lines_removed", "chunks_all", "chunks_removed", "line_list", "chunk_list", "chunk_hash", "chunk_key", "chunk_drop")}
-    drops = again.groupBy(F.col("doc_id").alias(names["chunk_key"])).agg(F.collect_set("pos").alias(names["chunk_drop"]))
-    out = docs.withColumn(names["chunk_key"], F.col("doc_id").cast("long")).join(drops, names["chunk_key"], "left")
+    names = {n: free_name(docs, n) for n in ("lines_before", "lines_removed", "chunks_all", "chunks_removed", "line_list", "chunk_list", "chunk_hash", "chunk_key", "chunk_salt", "chunk_drop")}
+    key, salt = names["chunk_key"], names["chunk_salt"]
+    drops = again.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("pos").alias(names["chunk_drop"])).withColumn(salt, spread(F.col(key)))
+    out = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(salt, spread(F.col(key), F.col("text").cast("string"))).join(drops, [key, salt], "left")
     none = F.array().cast("array<int>")
     out = out.withColumn(names["chunk_drop"], F.coalesce(names["chunk_drop"], none)).withColumn(names["line_list"], _lines(F.col("text")))
     out = _chunks(out, names["line_list"], names["chunk_list"], names["chunk_hash"], least)

@@ -15,7 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .columns import free_name
+from .columns import free_name, spread
 from .regex_trigrams import ANY, grams_of, trigram_query
 
 #: Documents in a segment, about; a posting list is no longer.
@@ -94,7 +94,8 @@ def find_secrets(docs: DataFrame, into: str, rules: tuple[Rule, ...] = RULES) ->
     """``docs`` with one more column ``into``: array of (start int, kind int, end int), in order.
 
     Needs doc_id (integer) and text.  kind is the rule's number; start and end are code points, end
-    exclusive; spans of different rules may overlap.  Null and empty texts have no span.  Rows of null
+    exclusive; spans of different rules may overlap.  Null and empty texts have no span; others are
+    searched whole, however long.  An empty table gives an empty table.  Rows of null
     doc_id are matched against every rule; rows that share a doc_id share candidates, which cannot
     lose a match.  All columns of ``docs`` come through, whatever their names; a column named
     ``into`` is replaced.
@@ -102,7 +103,7 @@ def find_secrets(docs: DataFrame, into: str, rules: tuple[Rule, ...] = RULES) ->
     queries = {i: trigram_query(r.pattern) for i, r in enumerate(rules)}
     indexed = {i: q for i, q in queries.items() if q != ANY}
     held = docs.drop(into)
-    mask, key, own = (free_name(held, n) for n in ("secret_rules", "secret_key", "secret_text"))
+    mask, key, own, salt = (free_name(held, n) for n in ("secret_rules", "secret_key", "secret_text", "secret_salt"))
     held = held.withColumns({key: F.col("doc_id").cast("long"), own: F.coalesce(F.col("text").cast("string"), F.lit(""))})
     every = sum(1 << i for i in queries)
     full = every - sum(1 << i for i in indexed)
@@ -110,13 +111,13 @@ def find_secrets(docs: DataFrame, into: str, rules: tuple[Rule, ...] = RULES) ->
         plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         segments = max(1, -(-docs.count() // SEGMENT))
         grams = sorted(set().union(*[grams_of(q) for q in indexed.values()]))
-        hits = candidates(trigram_postings(plain, grams, segments), indexed).select(F.col("doc_id").alias(key), F.col("rules").alias(mask))
-        held = held.join(hits, key, "left")
+        hits = candidates(trigram_postings(plain, grams, segments), indexed).select(F.col("doc_id").alias(key), spread(F.col("doc_id")).alias(salt), F.col("rules").alias(mask))
+        held = held.withColumn(salt, spread(F.col(key), F.col(own))).join(hits, [key, salt], "left")
         seen = F.when(F.col(key).isNull(), F.lit(every)).otherwise(F.coalesce(F.col(mask), F.lit(0)).bitwiseOR(F.lit(full)))
     else:
         seen = F.lit(full)
     parts = [F.when(seen.bitwiseAND(F.lit(1 << i)) != 0, _spans(F.col(own), i, r)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>")) for i, r in enumerate(rules)]
-    return held.withColumn(into, F.array_sort(F.concat(*parts))).drop(mask, key, own)
+    return held.withColumn(into, F.array_sort(F.concat(*parts))).drop(mask, key, own, salt)
 
 
 def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:

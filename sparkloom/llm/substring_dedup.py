@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .columns import free_name
+from .columns import spread
 from .scratch import Scratch
 from .wordhash import BLOCK, hash_spans, mix64, slices, text_buffers, word_bounds
 
@@ -111,7 +111,7 @@ def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFra
     first = chunks.groupBy("digest", "check").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n > 1")
     first = scratch.keep(first.select("digest", "check", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")), "first")
     again = chunks.join(first, ["digest", "check"]).where("doc_id <> first_doc or pos <> first_pos")
-    drops = again.groupBy("doc_id").agg(F.collect_set("pos").alias("drops"))
+    drops = again.groupBy("doc_id").agg(F.collect_set("pos").alias("drops")).withColumn("salt", spread(F.col("doc_id")))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, BLOCK):
@@ -135,7 +135,8 @@ def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFra
                 [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int32(), span)))], ["doc_id", "text", "n_chunks", "n_repeated", "n_recurring", "spans"]
             )
 
-    return texts.join(drops, "doc_id", "left").mapInArrow(rebuild, "doc_id long, text string, n_chunks int, n_repeated int, n_recurring int, spans array<struct<start:int,end:int>>")
+    dealt = texts.withColumn("salt", spread(F.col("doc_id"), F.col("text"))).join(drops, ["doc_id", "salt"], "left")
+    return dealt.select("doc_id", "text", "drops").mapInArrow(rebuild, "doc_id long, text string, n_chunks int, n_repeated int, n_recurring int, spans array<struct<start:int,end:int>>")
 
 
 def _removals(raw: np.ndarray, ends: np.ndarray, repeated: np.ndarray, least_words: int) -> tuple[list[tuple[int, int]], int]:

@@ -206,7 +206,8 @@ def build_trees(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     ``tokenizer`` is a ``tokenizers`` file with byte-level BPE, the same path on every machine.  The
     string of an added token counts as one token (its flags, such as lstrip, are not read).  Null texts
-    stay null, and count as empty: no tokens.
+    stay null, and count as empty: no tokens.  Whole texts are counted, however long; repeated rows and
+    rows of null doc_id each get a tree.  Other columns are not read.  An empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +229,9 @@ def apply_edits(trees: DataFrame, tokenizer: str) -> DataFrame:
     ``trees`` has doc_id, text, tree and edits: array of (start int, stop int, replacement string), in
     code points of the text as the edits before have left it.  Places outside the text count as its
     ends, null edits and null arrays as none, a null replacement as empty, a null text as empty.
-    Returns doc_id, text, tree, n_before, n_tokens and n_encoded (pre-tokens that were encoded anew).
+    Returns doc_id, text, tree, n_before, n_tokens and n_encoded (pre-tokens that were encoded anew), a
+    row for each row, repeated ones and those of null doc_id too; other columns are not read.  An empty
+    table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
