@@ -136,18 +136,38 @@ class Http:
         raise AttributeError(name)
 
 
+def write_faults(writes: dict) -> list[tuple[str, str]]:
+    """(rule, message) for each setting of an API's ``push`` that does not fit the others."""
+    out, mode, workers = [], writes.get("batch_mode", "sync"), writes.get("max_concurrent", 1)
+    if mode not in ("sync", "atomic", "async"):
+        out.append(("push.invalid_batch_mode", f"unknown batch_mode {mode}"))
+    elif workers > 1 and mode != "sync":
+        out.append(("push.invalid_max_concurrent", f"batch_mode {mode} with max_concurrent {workers}"))
+    per = (writes.get("rate_limit") or {}).get("per")
+    for key, value in (("poll_interval", writes.get("poll_interval")), ("poll_timeout", writes.get("poll_timeout")), ("rate_limit", per)):
+        if value is None:
+            continue
+        if key != "rate_limit" and mode != "async":
+            out.append((f"push.invalid_{key}", f"{key} needs batch_mode async, not {mode}"))
+        try:
+            seconds(value)
+        except (ApiError, ValueError):
+            out.append((f"push.invalid_{key}", f"{key} {value} is not a duration"))
+    return out
+
+
 def library_of(name: str, parts: dict, env: dict[str, str] | None = None, token=None, sleep=None) -> Library:
     """A library from a file's names: ``API`` and its functions."""
     api = parts.get("API")
     if not isinstance(api, dict):
         raise ApiError(f"{name}: no dict API")
     reads, writes = api.get("fetch") or {}, api.get("push") or {}
+    if faults := write_faults(writes):
+        raise ApiError(f"{name}: " + "; ".join(why for _, why in faults))
     http = {"fetch": Http(api, env, reads.get("rate_limit"), token, sleep), "push": Http(api, env, writes.get("rate_limit"), token, sleep)}
     if bool(reads.get("async")) != ("submit" in parts) and reads:
         raise ApiError(f"{name}: async needs submit(), check() and fetch_result(), and only then")
     mode = writes.get("batch_mode", "sync")
-    if mode not in ("sync", "atomic", "async") or writes.get("max_concurrent", 1) > 1 and mode != "sync":
-        raise ApiError(f"{name}: batch_mode {mode} with max_concurrent {writes.get('max_concurrent', 1)}")
 
     def bound(function: str, side: str):
         fn = parts.get(function)
@@ -168,15 +188,18 @@ def library_of(name: str, parts: dict, env: dict[str, str] | None = None, token=
     )
 
 
+def library_files(folder: str) -> dict[str, dict]:
+    """The names of every file of a project's ``lib`` that has an ``API``, by the file's name."""
+    files = {path.stem: runpy.run_path(str(path)) for path in sorted(Path(folder, "lib").glob("*.py"))}
+    return {name: parts for name, parts in files.items() if "API" in parts}
+
+
 def load_libraries(folder: str, env: dict[str, str] | None = None, token=None) -> list[str]:
     """Register every file of a project's ``lib`` that has an ``API``; its name is the file's."""
-    made = []
-    for path in sorted(Path(folder, "lib").glob("*.py")):
-        parts = runpy.run_path(str(path))
-        if "API" in parts:
-            library(library_of(path.stem, parts, env, token))
-            made.append(path.stem)
-    return made
+    files = library_files(folder)
+    for name, parts in files.items():
+        library(library_of(name, parts, env, token))
+    return list(files)
 
 
-__all__ = ["ApiError", "Http", "Response", "authorize", "library_of", "load_libraries", "seconds"]
+__all__ = ["ApiError", "Http", "Response", "authorize", "library_files", "library_of", "load_libraries", "seconds", "write_faults"]

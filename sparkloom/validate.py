@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from .dag import CycleError, Graph
 from .model import Model, ModelError, parse_model, target_of
 from .plans.refs import _seq, name_of, parse, relations, row_limits
+from .sources.api import library_files, write_faults
 from .sources.fetch import REGISTRY
 
 BLOCKER, WARN, INFO = "BLOCKER", "WARN", "INFO"
@@ -68,11 +69,11 @@ def strict_fetch(spark: SparkSession, model: Model) -> list[Finding]:
     return out
 
 
-def strict_push(spark: SparkSession, model: Model) -> list[Finding]:
+def strict_push(spark: SparkSession, model: Model, known: set[str] | None = None) -> list[Finding]:
     """A pushed model casts and names its outer columns and calls no library."""
     _, items = _projection(spark, model.sql)
     out = _casts(items, "strict_push", model.target)
-    if any(r.table_function and r.name in REGISTRY for r in relations(spark, model.sql)):
+    if any(r.table_function and r.name in (REGISTRY if known is None else known) for r in relations(spark, model.sql)):
         out.append(Finding("strict_push.lib_call_disallowed", BLOCKER, model.target, "a pushed model calls no library"))
     if model.kind == "scd2":
         out.append(Finding("push.kind_not_supported", BLOCKER, model.target, "kind scd2 cannot be pushed"))
@@ -83,8 +84,9 @@ def strict_push(spark: SparkSession, model: Model) -> list[Finding]:
     return out
 
 
-def validate(spark: SparkSession, models: list[Model]) -> list[Finding]:
-    out, good = [], []
+def validate(spark: SparkSession, models: list[Model], libraries: set[str] = frozenset()) -> list[Finding]:
+    """Findings on models that may call registered libraries and those named."""
+    out, good, known = [], [], {*REGISTRY, *libraries}
     for m in models:
         try:
             limits = row_limits(spark, m.sql)
@@ -94,9 +96,9 @@ def validate(spark: SparkSession, models: list[Model]) -> list[Finding]:
             continue
         good.append(m)
         out += [Finding(f"read_only.{n.lower()}_disallowed", BLOCKER, m.target, f"{n} in a model") for n in limits]
-        out += [Finding("cross_ast.unknown_lib", BLOCKER, m.target, f"unknown library {r.name}") for r in calls if r.table_function and m.fetch and r.name not in REGISTRY]
+        out += [Finding("cross_ast.unknown_lib", BLOCKER, m.target, f"unknown library {r.name}") for r in calls if r.table_function and m.fetch and r.name not in known]
         out += strict_fetch(spark, m) if m.fetch else []
-        out += strict_push(spark, m) if m.push else []
+        out += strict_push(spark, m, known) if m.push else []
     graph = Graph.of(spark, good)
     try:
         graph.order()
@@ -107,6 +109,11 @@ def validate(spark: SparkSession, models: list[Model]) -> list[Finding]:
     return out
 
 
+def push_settings(apis: dict[str, dict], models: list[Model]) -> list[Finding]:
+    """Settings of the pushed models' sinks that do not fit each other."""
+    return [Finding(rule, BLOCKER, m.target, f"{m.push}: {why}") for m in models if m.push in apis for rule, why in write_faults(apis[m.push].get("push") or {})]
+
+
 def validate_folder(spark: SparkSession, folder: str) -> list[Finding]:
     models, out, seen = [], [], set()
     for path in sorted(Path(folder, "models").rglob("*.sql")):
@@ -118,4 +125,9 @@ def validate_folder(spark: SparkSession, folder: str) -> list[Finding]:
             models.append(parse_model(path.read_text(), target, str(path)))
         except ModelError as e:
             out.append(Finding(f"parser.{e.rule}", BLOCKER, target, str(e)))
-    return out + validate(spark, models)
+    apis: dict[str, dict] = {}
+    try:
+        apis = {name: parts["API"] for name, parts in library_files(folder).items() if isinstance(parts["API"], dict)}
+    except Exception as e:  # a library is the project's own code
+        out.append(Finding("parser.library", BLOCKER, "", f"lib: {type(e).__name__}: {e}"))
+    return out + push_settings(apis, models) + validate(spark, models, set(apis))

@@ -185,6 +185,41 @@ def test_validation(spark):
     assert {"read_only.limit_disallowed", "dag.cycle_detected", "push.kind_not_supported", "strict_push.alias_required", "strict_push.cast_required", "parser.other", "dag.external_reference"} <= rules
 
 
+def test_push_settings(spark, tmp_path):
+    from sparkloom.sources import api
+
+    def sink(name, **push):
+        (tmp_path / "lib").mkdir(exist_ok=True)
+        (tmp_path / "models" / "m").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "lib" / f"{name}.py").write_text(f"API = {{'base_url': 'http://127.0.0.1', 'push': {push!r}}}\ndef push(rows, http):\n    return 'ok'\n")
+        (tmp_path / "models" / "m" / f"{name}.sql").write_text(f"-- @push: {name}\nSELECT CAST(1 AS BIGINT) AS id\n")
+
+    sink("good", batch_mode="async", poll_interval="5s", poll_timeout="1h", rate_limit={"requests": 5, "per": "1s"})
+    assert not [f for f in validate.validate_folder(spark, str(tmp_path)) if f.rule.startswith("push.")]
+    assert api.load_libraries(str(tmp_path)) == ["good"]
+    sink("sync", poll_interval="5s")
+    sink("late", batch_mode="async", poll_timeout="soon")
+    sink("dots", batch_mode="async", poll_interval="..")
+    sink("many", batch_mode="atomic", max_concurrent=2)
+    sink("pace", rate_limit={"requests": 5, "per": "often"})
+    sink("mode", batch_mode="other")
+    found = {(f.target, f.rule) for f in validate.validate_folder(spark, str(tmp_path)) if f.rule.startswith("push.")}
+    assert found == {
+        ("m.sync", "push.invalid_poll_interval"), ("m.late", "push.invalid_poll_timeout"), ("m.dots", "push.invalid_poll_interval"),
+        ("m.many", "push.invalid_max_concurrent"), ("m.pace", "push.invalid_rate_limit"), ("m.mode", "push.invalid_batch_mode"),
+    }
+    with pytest.raises(api.ApiError):
+        api.load_libraries(str(tmp_path))
+
+    (tmp_path / "lib" / "read.py").write_text("API = {'base_url': 'http://127.0.0.1', 'fetch': {}}\n")
+    (tmp_path / "models" / "m" / "read.sql").write_text("-- @fetch\nSELECT id::BIGINT AS id FROM read('x')\n")
+    (tmp_path / "models" / "m" / "none.sql").write_text("-- @fetch\nSELECT id::BIGINT AS id FROM no_such_library('x')\n")
+    unknown = lambda: {f.target for f in validate.validate_folder(spark, str(tmp_path)) if f.rule == "cross_ast.unknown_lib"}
+    assert unknown() == {"m.none"}
+    (tmp_path / "lib" / "torn.py").write_text("API = {")
+    assert "parser.library" in {f.rule for f in validate.validate_folder(spark, str(tmp_path))}
+
+
 def test_command_line(spark, tmp_path, capsys):
     models = tmp_path / "models" / "raw"
     models.mkdir(parents=True)
